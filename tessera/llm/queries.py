@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op2_chat_format
 from .mixing import op10_weighted_mix
+from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_prefix_sum_shards
+from .warc import op9_chunked_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_format": op2_chat_format,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op8_prefix_sum_shards": op8_prefix_sum_shards,
+        "op9_chunked_warc": op9_chunked_warc,
         "op10_weighted_mix": op10_weighted_mix,
     }
 
