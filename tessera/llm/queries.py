@@ -11,11 +11,13 @@ from .mixing import op10_weighted_mix
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_prefix_sum_shards
+from .toxicity import op1_noisy_channel_toxicity
 from .warc import op9_chunked_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
         "op2_chat_format": op2_chat_format,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
