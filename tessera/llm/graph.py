@@ -1,0 +1,31 @@
+"""Connected components of an undirected graph of long node ids, by joins and aggregates only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node id of the component, for every node that has a link (columns a, b).
+
+    Each round takes the smallest label among neighbours and then jumps to the label's own label, so a chain
+    of n nodes needs about log n rounds.  Every table is written to the shared folder: lineage stays short,
+    and both sides of each join are plain exchanges that the adaptive plan can split at a hub.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = written(both, "links")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        near = written(near, "near")
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        lower = written(lower, "lower")
+        heads = lower.select(F.col("node").alias("head"), F.col("label").alias("next"))
+        jumped = lower.join(heads, F.col("label") == F.col("head"), "left").select("node", F.coalesce("next", "label").alias("label"), "was")
+        jumped = written(jumped, "labels")
+        labels = jumped.select("node", "label")
+        if jumped.where("label <> was").isEmpty():
+            return labels

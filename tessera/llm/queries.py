@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat_format
 from .mixing import op10_weighted_mix
+from .near_duplicates import op3_order_min_hash
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_prefix_sum_shards
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
         "op2_chat_format": op2_chat_format,
+        "op3_order_min_hash": op3_order_min_hash,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op8_prefix_sum_shards": op8_prefix_sum_shards,
