@@ -12,6 +12,7 @@ from .near_duplicates import op3_order_min_hash
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_prefix_sum_shards
+from .topk import op5_pivot_top_k
 from .toxicity import op1_noisy_channel_toxicity
 from .warc import op9_chunked_warc
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_order_min_hash": op3_order_min_hash,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_pivot_top_k": op5_pivot_top_k,
         "op6_quality_rules": op6_quality_rules,
         "op8_prefix_sum_shards": op8_prefix_sum_shards,
         "op9_chunked_warc": op9_chunked_warc,
