@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat_format
+from .line_duplicates import op7_segment_edit_join
 from .mixing import op10_weighted_mix
 from .near_duplicates import op3_order_min_hash
 from .packing import op4_best_fit_packing
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_pivot_top_k": op5_pivot_top_k,
         "op6_quality_rules": op6_quality_rules,
+        "op7_segment_edit_join": op7_segment_edit_join,
         "op8_prefix_sum_shards": op8_prefix_sum_shards,
         "op9_chunked_warc": op9_chunked_warc,
         "op10_weighted_mix": op10_weighted_mix,
