@@ -13,6 +13,7 @@ shorter; equal rows are packed as often as they occur; an empty table gives an e
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,14 +32,21 @@ OPEN_BINS = 1024
 #: Pieces that one packing task takes, about; each task leaves at most its open bins part full.
 PIECES_PER_TASK = 50_000
 #: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 1_000_000
+
+
+#: Texts of these characters only, without what follows, are cut at every change between letters and other signs.
+_BEYOND_LATIN = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]|[İ']|<\\|")
+_RUNS = re.compile(r"[^\W\d_]+|(?:[^\w\s]|_)+|\d")
 
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    For tokenizers that drop white space and never join over it: a text's ids are those of its
-    space-separated parts in order, and the ids of parts seen before are remembered.
+    For tokenizers that lower case, drop white space and never join over it or over a change from letters to
+    other signs (apart from apostrophes and special tokens): a text's ids are those of its parts in order,
+    and the ids of parts seen before are remembered.  Texts with other than Latin letters, apostrophes or
+    special tokens are cut at spaces only.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
@@ -48,7 +56,10 @@ class WordEncoder:
         self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {"": b""}
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
+        if _BEYOND_LATIN.search(text):
+            parts = text.replace("\n", " ").split(" ")
+        else:
+            parts = _RUNS.findall(text.lower())
         known = self.known
         try:
             return b"".join([known[p] for p in parts])
@@ -58,10 +69,32 @@ class WordEncoder:
             known.clear()
             known[""] = b""
         new = [p for p in dict.fromkeys(parts) if p not in known]
-        for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[part] = array("I", got.ids).tobytes()
+        self._learn(new)
         return b"".join([known[p] for p in parts])
 
+    def _learn(self, new: list[str]) -> None:
+        """All new parts in one call, told apart by the tokenizer's own word numbers if it takes each for one word."""
+        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        numbers, ids = got.word_ids, array("I", got.ids).tobytes()
+        starts = [i for i, n in enumerate(numbers) if not i or n != numbers[i - 1]]
+        if len(starts) == len(new):
+            starts.append(len(numbers))
+            for k, part in enumerate(new):
+                self.known[part] = ids[4 * starts[k] : 4 * starts[k + 1]]
+        else:
+            for part, one in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                self.known[part] = array("I", one.ids).tobytes()
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: later tasks go on with the words that earlier ones have met."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 class BoundedBestFit:
     """Places lengths one after another; holds at most ``most_open`` bins."""
@@ -105,7 +138,7 @@ def cut_into_pieces(df: DataFrame, doc: str, text: str, tokenizer: str, max_toke
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             rows, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
