@@ -37,7 +37,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives the loss of executors, and fixes row order-dependent ids."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
