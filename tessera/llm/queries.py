@@ -10,6 +10,7 @@ from .chat import op2_chat_format
 from .line_duplicates import op7_segment_edit_join
 from .mixing import op10_weighted_mix
 from .near_duplicates import op3_order_min_hash
+from .oracles import oracle_sql
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_rules
 from .sharding import op8_prefix_sum_shards
@@ -33,5 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+__all__ = ["oracle_sql", "queries"]
