@@ -33,10 +33,11 @@ def _quality() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^ \\t-\\r]+') AS words, string_split(text, chr(10)) AS all_lines FROM d),
 l AS (SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM w),
-g AS (SELECT row_no, unnest(range(1, len(words) - 3)) AS pos, words FROM w WHERE len(words) >= 5),
-h AS (SELECT row_no, pos, count(*) OVER (PARTITION BY row_no, array_to_string(words[pos:pos + 4], ' ')) AS n FROM g),
+u AS (SELECT row_no, unnest(words) AS one, generate_subscripts(words, 1) AS pos FROM w),
+g AS (SELECT row_no, pos, one || ' ' || lead(one, 1) OVER o || ' ' || lead(one, 2) OVER o || ' ' || lead(one, 3) OVER o || ' ' || lead(one, 4) OVER o AS win FROM u WINDOW o AS (PARTITION BY row_no ORDER BY pos)),
+h AS (SELECT row_no, pos, count(*) OVER (PARTITION BY row_no, win) AS n FROM g WHERE win IS NOT NULL),
 p AS (SELECT row_no, count(DISTINCT place) AS n FROM (SELECT row_no, unnest(range(pos, pos + 5)) AS place FROM h WHERE n >= 2) GROUP BY row_no),
-q AS (SELECT row_no, count(*) AS n FROM (SELECT row_no, unnest(words) AS one FROM w) WHERE one IN ({listed}) GROUP BY row_no),
+q AS (SELECT row_no, count(*) AS n FROM u WHERE one IN ({listed}) GROUP BY row_no),
 c AS (SELECT l.row_no, doc_id, len(words) AS n_words, length(regexp_replace(text, '[ \\t-\\r]', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
 len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(q.n, 0) AS n_stops, len(all_lines) AS n_lines, len(lines) AS n_word_lines FROM l LEFT JOIN p USING (row_no) LEFT JOIN q USING (row_no)),
 r AS (SELECT *, word_chars::DOUBLE / greatest(n_words, 1) AS mean_word_chars, n_symbols::DOUBLE / greatest(n_words, 1) AS symbol_ratio, (n_stops + 1)::DOUBLE / greatest(n_words, 1) AS stop_word_ratio,
