@@ -30,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this process wrote to the shared folder; call it once results are stored."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -42,7 +53,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that `written` made, wherever it lies."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
