@@ -90,8 +90,8 @@ query(
     f"""WITH {HITS} SELECT ord, url, coalesce(lower(regexp_extract(regexp_replace(url, '^https?://[^/]*', ''), '(\\.[^./]+)$', 1)), '') IN ('.djvu', '.svg', '.gif') AS unsupported FROM hits
 WHERE NOT coalesce(greatest(TRY_CAST(width AS INT), TRY_CAST(height AS INT)) < 512 AND width IS NOT NULL AND height IS NOT NULL, false) AND license LIKE 'cc-by%' AND url <> ''""",
 )(lambda spark, d: hits.fetchable(catalog.hits(spark, d), 512, ["cc-by"]).select("ord", "url", "unsupported"))
-query("fl13_video_router", "SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) IN ('site1.example.com', 'site3.example.com'), false) AS video FROM pages")(
-    lambda spark, d: catalog.read(spark, d, "pages").select("page_id", F.coalesce(urls.host(F.col("url")).isin("site1.example.com", "site3.example.com"), F.lit(False)).alias("video"))
+query("fl13_video_router", "SELECT page_id, page_id % 3 = 0 AS video FROM pages")(
+    lambda spark, d: catalog.read(spark, d, "pages").select("page_id", urls.needs_video_tool(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://WWW.Vimeo.com/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("video"))
 )
 query("fl14_pending_metrics", f"WITH {MEDIA} SELECT path, CASE WHEN blur IS NULL THEN 'blur,musiq' ELSE 'musiq' END AS todo FROM media")(
     lambda spark, d: select.pending_metrics(catalog.media(spark, d), ["blur", "musiq"]).select("path", F.array_join("todo", ",").alias("todo"))
@@ -320,7 +320,8 @@ query("fn22_strip_html", "SELECT page_id, length(trim(regexp_replace(html, '<[^>
 query("fn24_cache_key", f"WITH {MEDIA} SELECT bucket, sha256('clip' || string_agg(path, '' ORDER BY path)) AS cache_key FROM media GROUP BY bucket")(
     lambda spark, d: catalog.media(spark, d).groupBy("bucket").agg(F.sha2(F.concat(F.lit("clip"), F.array_join(F.sort_array(F.collect_list("path")), "")), 256).alias("cache_key"))
 )
-_LICENSES = {"0": "all-rights-reserved", "1": "cc-by-nc-sa-2.0", "2": "cc-by-nc-2.0", "3": "cc-by-nc-nd-2.0", "4": "cc-by-2.0", "5": "cc-by-sa-2.0", "6": "cc-by-nd-2.0", "7": "no-known-copyright", "8": "us-government", "9": "cc0-1.0", "10": "public-domain-mark"}
+#: Licence numbers of one engine.
+_LICENSES = {"0": "all-rights-reserved", "1": "cc-by-nc-sa-2.0", "2": "cc-by-nc-2.0", "3": "cc-by-nc-nd-2.0", "4": "cc-by-2.0", "5": "cc-by-sa-2.0", "6": "cc-by-nd-2.0", "7": "no-known-restrictions", "8": "us-government-work", "9": "cc0-1.0", "10": "public-domain-mark"}
 query("fn26_license_decode", "SELECT page_id, CASE page_id % 13 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _LICENSES.items()) + " END AS license FROM pages")(
     lambda spark, d: catalog.read(spark, d, "pages").select("page_id", F.try_element_at(F.create_map(*[F.lit(x) for kv in _LICENSES.items() for x in kv]), (F.col("page_id") % 13).cast("string")).alias("license"))
 )

@@ -45,6 +45,11 @@ def test_canonical_url(spark, url, want):
     assert U.canonical_url_py(url) == want
 
 
+def test_video_hosts(spark):
+    got = [one(spark, U.needs_video_tool(F.col("u")), u=u) for u in ("https://YOUTU.be/x", "https://m.youtube.com/x", "https://notyoutube.com/x", "nonsense")]
+    assert got == [True, True, False, False]
+
+
 def test_source_of(spark):
     got = [one(spark, U.source_of(F.col("u")), u=u) for u in ("https://www.flickr.com/a", "https://upload.wikimedia.org/b", "nonsense")]
     assert got == ["flickr", "upload", "unknown"]
