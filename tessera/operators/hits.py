@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Suffixes that are never fetched, and hosts whose media need a video tool.
@@ -25,10 +25,6 @@ def richest_hits(hits: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
-def as_pixels(x: Column) -> Column:
-    return F.try_cast(x, "int") if hasattr(F, "try_cast") else x.try_cast("int")
-
-
 def fetchable(hits: DataFrame, min_size: int | None = None, licenses: list[str] | None = None) -> DataFrame:
     """Hits to fetch with ``unsupported``; sizes that cannot be read keep a hit, missing licences drop it if some are asked for."""
     w, h = F.expr("try_cast(width AS int)"), F.expr("try_cast(height AS int)")
@@ -56,7 +52,7 @@ def query_matrix(terms: DataFrame, suffixes: DataFrame, suffix_only: bool = Fals
     return pairs if suffix_only else bare.unionByName(pairs)
 
 
-def tripped(requests: DataFrame, limit: int = BREAKER, salt_minutes: int | None = None) -> DataFrame:
+def tripped(requests: DataFrame, limit: int = BREAKER) -> DataFrame:
     """(domain, tripped_at): when a domain first had ``limit`` failures in a row; a later success does not help.
 
     Failures are numbered within runs that end at successes (gaps and islands).
