@@ -115,9 +115,12 @@ def line_links(distinct: DataFrame, edits: int = EDITS, hot_key: int = HOT_KEY)
         in_a, in_b = hot_nodes.select(F.col("node").alias("a"), F.lit(True).alias("hot_a")), hot_nodes.select(F.col("node").alias("b"), F.lit(True).alias("hot_b"))
         met = met.join(in_a, "a", "left").join(in_b, "b", "left").where("NOT (coalesce(hot_a, false) AND coalesce(hot_b, false))").select("a", "b")
     pairs = written(met, "line-pairs")
-    one = distinct.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-    two = distinct.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-    texts = pairs.join(one, "a").join(two, "b")
+    # The lines of candidates are taken out once; merge joins at every size, because what is joined grows with the input.
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = written(distinct.join(wanted.hint("merge"), "node"), "candidate-lines")
+    one = needed.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
+    two = needed.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
+    texts = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     longer = F.length("line_a") >= F.length("line_b")
     texts = texts.select("a", "b", F.when(longer, F.col("line_a")).otherwise(F.col("line_b")).alias("x"), F.when(longer, F.col("line_b")).otherwise(F.col("line_a")).alias("y"))
     links = written(texts.where(F.expr(distance_within("x", "y", edits))).select("a", "b"), "line-links")
