@@ -194,10 +194,12 @@ def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             linked = [similar(hashes(x.as_py()), hashes(y.as_py()), similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
+    # Joins with texts are merge joins at every size: what is joined grows with the input, so a broadcast that a
+    # small input allows says nothing about a large one.
     distinct = written(pairs.select("a", "b").distinct(), "pairs")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    met = distinct.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    met = distinct.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return written(met.mapInArrow(run, "a long, b long, linked boolean"), "compared")
 
 
@@ -246,7 +248,7 @@ def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text
     def texts_of(involved: DataFrame) -> DataFrame:
         wanted = written(involved.join(nodes.select("node", "rep"), "node").distinct(), "wanted")
         full = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("node"), "text")
-        return full.join(wanted, ["rep", "node"]).select("node", "text")
+        return full.join(wanted.hint("merge"), ["rep", "node"]).select("node", "text")
 
     links = written(near_duplicate_links(nodes.select("node", "sketch"), texts_of, similarity), "near-links")
     labels = components(links)
