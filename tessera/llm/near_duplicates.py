@@ -5,9 +5,11 @@ A k-mer is five consecutive words (in lower case) with its occurrence number in
 so a sketch agrees for texts that are similar under edits, not for those that merely share parts.  Equal
 texts are one node; nodes that share a sketch are compared with the smallest node of that bucket by a banded
 bit-parallel alignment of their words, and are linked if at most a fifth of the longer text's words differ
-(similarity 0.8 or more).  Nodes that do not match their bucket's smallest node meet again under the bucket
-and one more sketch, with a smallest node of those.  So every bucket costs as many comparisons as it has
-nodes, and no pairs within a group are listed.  Classes are the connected components.
+(similarity 0.8 or more).  Buckets whose nodes are not connected by then go on in rounds: the node with the most
+links so far, linked or not to the first one, meets all that it is not connected to and is settled; the next
+rounds take 8, 64, ... such nodes.  Once no more than ``SKETCHES`` pairs a node are left, all are compared.  So in the end every pair that shares a
+sketch is connected or was found dissimilar; no pairs within a connected group are listed.
+Classes are the connected components.
 
 Defined results for odd input: null texts and texts without a word are classes of their own; texts of fewer
 than five words have one k-mer, all their words; equal texts are one class whatever their ids; repeated rows
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -31,8 +33,6 @@ from .graph import components
 K_WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 24
-#: Sketches that a second round joins to the one under which a comparison failed.
-SECOND_KEYS = 6
 SEED = 20_240_517
 
 _U = np.uint64
@@ -163,6 +163,10 @@ def banded_distance(a: list, b: list, most: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
+    # An edit leaves all but two pairs of neighbours as they are: with too few in common there is nothing to align.
+    needed = longest - 1 - 2 * most
+    if abs(len(a) - len(b)) > most or (needed > 0 and len(np.intersect1d(k_mers(a.astype(_U), 2), k_mers(b.astype(_U), 2), assume_unique=True)) < needed):
+        return False
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
@@ -209,29 +213,48 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return written(keyed.join(smallest, "key").where("node <> b").select("key", F.col("node").alias("a"), "b"), "stars")
 
 
-def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILARITY, second_keys: int = SECOND_KEYS) -> DataFrame:
-    """Links (a, b) between nodes (node, sketch).  ``texts_of`` takes nodes and returns ``node, text`` of each."""
+def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes (node, sketch): each pair that shares a sketch is connected by them or was compared.
+
+    ``texts_of`` takes nodes and returns ``node, text`` of each.
+    """
     spread = nodes.select("node", F.posexplode("sketch").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("key"))
     first = _stars(spread)
     involved = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = written(texts_of(involved), "candidate-texts")
+    few = texts.count()
     seen = _compare(first, texts, similarity)
     links = seen.where("linked").select("a", "b")
-    # Buckets in which nodes failed: those nodes meet again under the bucket and one more sketch.
-    failed = first.join(seen.where("NOT linked").select("a", "b"), ["a", "b"]).select("key", F.col("a").alias("node")).distinct()
-    failed = written(failed, "failed")
-    second = _stars(_second_keys(failed, nodes, second_keys))
-    again = _compare(second.join(seen, ["a", "b"], "left_anti"), texts, similarity)
-    return links.union(again.where("linked").select("a", "b"))
-
-
-def _second_keys(failed: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """``key, node``: a failed bucket's key joined with each of ``count`` sketches that the bucket itself chooses."""
-    joined = failed.join(nodes, "node")
-    at = F.sequence(F.lit(0), F.lit(count - 1))
-    picked = joined.select("node", "key", "sketch", F.explode(at).alias("j"))
-    place = F.pmod(F.col("key") + F.col("j") * 7, F.size("sketch")).cast("int")
-    return picked.select("node", F.xxhash64("key", "j", F.get("sketch", place)).alias("key"))
+    # The smallest nodes have met all others.  A bucket without a failure is connected; in others, all but the smallest may be open.
+    failed = written(first.join(seen.where("NOT linked").select("a", "b"), ["a", "b"]).select("key").distinct(), "failed")
+    rest = written(first.join(failed, "key").select("key", F.col("a").alias("node")), "rest")
+    width = 1
+    while not rest.isEmpty():
+        labels = components(links)
+        known = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        known = written(known, "rest-labels")
+        sizes = known.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        sizes = written(sizes.where("n * n > same"), "open-buckets")
+        todo = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
+        if not todo:
+            break
+        known = written(known.join(sizes.select("key"), "key"), "open-nodes")
+        if todo <= SKETCHES * few:
+            one, two = known.select("key", F.col("node").alias("a"), F.col("label").alias("label_a")), known.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+            met = one.join(two, "key").where("a > b AND label_a <> label_b").select("a", "b").distinct()
+            return links.union(_compare(met.join(seen, ["a", "b"], "left_anti"), texts, similarity).where("linked").select("a", "b"))
+        # The bucket's nodes with the most links so far meet all that they are not connected to, and are settled then.
+        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+        degree = ends.join(known.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("k"))
+        by_degree = Window.partitionBy("key").orderBy(F.desc_nulls_last("k"), "node")
+        ranked = written(known.join(degree, "node", "left").select("key", "node", "label", F.row_number().over(by_degree).alias("place")), "rest-ranks")
+        hubs = ranked.where(F.col("place") <= width).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        pairs = ranked.join(hubs, "key").where("label <> hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        more = _compare(pairs.join(seen, ["a", "b"], "left_anti"), texts, similarity)
+        seen, links = seen.union(more), links.union(more.where("linked").select("a", "b"))
+        rest = ranked.where(F.col("place") > width).select("key", "node")
+        width *= 8
+    return links
 
 
 def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:

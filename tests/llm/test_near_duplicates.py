@@ -51,6 +51,20 @@ def test_large_group_of_near_copies(spark, rng):
     assert got == {0}
 
 
+def test_hub_and_its_copies(spark, rng):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(1000):
+        copy = list(base)
+        for at in rng.sample(range(200), 30):  # 0.85 to the hub, about 0.72 to each other
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    held = {r.doc_id: set(enumerate(r.sketch)) for r in N.sketch_table(documents(spark, texts)).collect()}
+    met = {i for i in held if i == 0 or held[i] & held[0]}
+    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(documents(spark, texts)).collect()}
+    assert {got[i] for i in met} == {0} and len(met) > 800
+
+
 def test_odd_tables(spark):
     assert N.near_duplicate_classes(documents(spark, [])).count() == 0
     long = "word " * 60_000
