@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A k-mer is five consecutive words (in lower case) with its occurrence number in the text.  For each of
+A k-mer is three consecutive words (in lower case) with its occurrence number in the text.  For each of
 ``SKETCHES`` hash orders the two smallest k-mers are taken and kept in the order in which the text has them,
 so a sketch agrees for texts that are similar under edits, not for those that merely share parts.  Equal
 texts are one node; nodes that share a sketch are compared with the smallest node of that bucket by a banded
@@ -12,7 +12,7 @@ sketch is connected or was found dissimilar; no pairs within a connected group a
 Classes are the connected components.
 
 Defined results for odd input: null texts and texts without a word are classes of their own; texts of fewer
-than five words have one k-mer, all their words; equal texts are one class whatever their ids; repeated rows
+than three words have one k-mer, all their words; equal texts are one class whatever their ids; repeated rows
 share the class; a null id joins its text's class but never names it; an empty table gives an empty table.
 Nodes are 64-bit hashes of texts; equality of texts is judged by 128 bits.
 """
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .graph import components
 
-K_WORDS = 5
+K_WORDS = 3
 SIMILARITY = 0.8
-SKETCHES = 24
+SKETCHES = 48
 SEED = 20_240_517
 
 _U = np.uint64

@@ -51,6 +51,18 @@ def test_large_group_of_near_copies(spark, rng):
     assert got == {0}
 
 
+def test_pairs_near_the_bound_share_a_sketch():
+    random = np.random.default_rng(3)
+    for changed, least in ((40, 0.98), (30, 0.995)):  # of 200 words: similarity 0.80 and 0.85
+        met = 0
+        for _ in range(400):
+            a = random.integers(0, 1 << 62, 200).astype(np.uint64)
+            b = a.copy()
+            b[random.choice(200, changed, replace=False)] = random.integers(0, 1 << 62, changed).astype(np.uint64)
+            met += bool((N.order_min_hash(N.k_mers(a)) == N.order_min_hash(N.k_mers(b))).any())
+        assert met / 400 >= least
+
+
 def test_hub_and_its_copies(spark, rng):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)]
