@@ -214,7 +214,7 @@ def _stars(keyed: DataFrame) -> DataFrame:
 
 
 def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between nodes (node, sketch): each pair that shares a sketch is connected by them or was compared.
+    """Links (a, b) between nodes (node, n_words, sketch): each pair that shares a sketch is connected by them or was compared.
 
     ``texts_of`` takes nodes and returns ``node, text`` of each.
     """
@@ -228,6 +228,8 @@ def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILAR
     # The smallest nodes have met all others.  A bucket without a failure is connected; in others, all but the smallest may be open.
     failed = written(first.join(seen.where("NOT linked").select("a", "b"), ["a", "b"]).select("key").distinct(), "failed")
     rest = written(first.join(failed, "key").select("key", F.col("a").alias("node")), "rest")
+    # Lengths too far apart are an alignment that fails, found without the texts.
+    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
     width = 1
     while not rest.isEmpty():
         labels = components(links)
@@ -239,17 +241,18 @@ def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILAR
         if not todo:
             break
         known = written(known.join(sizes.select("key"), "key"), "open-nodes")
+        known = written(known.join(nodes.select("node", F.col("n_words").alias("n")), "node"), "open-lengths")
         if todo <= SKETCHES * few:
-            one, two = known.select("key", F.col("node").alias("a"), F.col("label").alias("label_a")), known.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            met = one.join(two, "key").where("a > b AND label_a <> label_b").select("a", "b").distinct()
+            one, two = known.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), known.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+            met = one.join(two, "key").where("a > b AND label_a <> label_b").where(near("n_a", "n_b")).select("a", "b").distinct()
             return links.union(_compare(met.join(seen, ["a", "b"], "left_anti"), texts, similarity).where("linked").select("a", "b"))
         # The bucket's nodes with the most links so far meet all that they are not connected to, and are settled then.
         ends = links.select(F.col("a").alias("node")).union(links.select("b"))
         degree = ends.join(known.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("k"))
         by_degree = Window.partitionBy("key").orderBy(F.desc_nulls_last("k"), "node")
-        ranked = written(known.join(degree, "node", "left").select("key", "node", "label", F.row_number().over(by_degree).alias("place")), "rest-ranks")
-        hubs = ranked.where(F.col("place") <= width).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = ranked.join(hubs, "key").where("label <> hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        ranked = written(known.join(degree, "node", "left").select("key", "node", "label", "n", F.row_number().over(by_degree).alias("place")), "rest-ranks")
+        hubs = ranked.where(F.col("place") <= width).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
+        pairs = ranked.join(hubs, "key").where("label <> hub_label").where(near("n", "hub_n")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         more = _compare(pairs.join(seen, ["a", "b"], "left_anti"), texts, similarity)
         seen, links = seen.union(more), links.union(more.where("linked").select("a", "b"))
         rest = ranked.where(F.col("place") > width).select("key", "node")
@@ -265,15 +268,15 @@ def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text
     groups = wordy.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     groups = written(groups, "texts")
     # One row a text: the one with the text's smallest id (a repeated row gives the same row again).
-    first = wordy.select("h1", "h2", "sketch", F.col("doc_id").alias("rep"))
-    nodes = written(groups.join(first, ["h1", "h2", "rep"]).select(F.col("h1").alias("node"), "rep", "sketch"), "nodes")
+    first = wordy.select("h1", "h2", "n_words", "sketch", F.col("doc_id").alias("rep"))
+    nodes = written(groups.join(first, ["h1", "h2", "rep"]).select(F.col("h1").alias("node"), "rep", "n_words", "sketch"), "nodes")
 
     def texts_of(involved: DataFrame) -> DataFrame:
         wanted = written(involved.join(nodes.select("node", "rep"), "node").distinct(), "wanted")
         full = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("node"), "text")
         return full.join(wanted.hint("merge"), ["rep", "node"]).select("node", "text")
 
-    links = written(near_duplicate_links(nodes.select("node", "sketch"), texts_of, similarity), "near-links")
+    links = written(near_duplicate_links(nodes.select("node", "n_words", "sketch"), texts_of, similarity), "near-links")
     labels = components(links)
     labelled = nodes.select("node", "rep").join(labels, "node")
     names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
