@@ -1,8 +1,8 @@
 """Toxicity by a noisy-channel deobfuscator and a classifier of restored words.
 
 1. A character trigram model is counted over all texts (letters of any case; all else is a boundary).
-2. Spans that an obfuscator may have made - digits or signs among letters, letters three or more in a row,
-   letters spelled one by one - become lattices: a sign may stand for a letter or a boundary, a run for one
+2. Spans that an obfuscator may have made - digits or signs among letters, letters twice or more in a row,
+   letters or signs spelled one by one, or all of these - become lattices: a sign may stand for a letter or a boundary, a run for one
    or two letters, a separator for nothing or a boundary.  Viterbi decoding picks the likeliest restoration
    under the character model and the channel's costs.  Everywhere else the lattice has one path.
 3. Words and word beginnings of restored texts whose excess in toxic training rows is significant (G test
@@ -50,6 +50,12 @@ SEPARATORS = " .-_*"
 #: Costs of the channel (log probabilities).
 SUBSTITUTE, BOUNDARY, COLLAPSE, COLLAPSE_PAIR, DOUBLE, KEEP_PAIR, SKIP, KEEP_SEPARATOR = -1.0, -12.0, -0.7, -4.0, -1.2, -0.1, -0.5, -1.5
 WORD = re.compile(r"[^\W\d_]+")
+#: Tokens up to this many characters are decoded as a whole.
+LONG_TOKEN = 64
+_SIGNS = re.escape("".join(LEET))
+_INNER, _OUTER, _GAP = rf"(?:[^\W\d_]|[{_SIGNS}])", r"[^\W_]|[@$€£]", f"[{re.escape(SEPARATORS)}]+"
+#: Three or more units (a letter or sign, or a run of it) with separators between; the first and last are no punctuation.
+SPELLED = re.compile(rf"(?<![^\W_])(?={_OUTER})({_INNER})\1*+(?:{_GAP}({_INNER})\2*+)+{_GAP}({_OUTER})\3*+(?![^\W_])")
 
 
 def _symbol_table() -> np.ndarray:
@@ -69,8 +75,6 @@ def _symbol_table() -> np.ndarray:
 SYMBOLS = _symbol_table()
 _LEET = np.zeros(0x20AD, bool)
 _LEET[[ord(c) for c in LEET]] = True
-_SEPARATOR = np.zeros(128, bool)
-_SEPARATOR[[ord(c) for c in SEPARATORS]] = True
 
 
 def code_points(text: str) -> np.ndarray:
@@ -178,36 +182,27 @@ def suspicious_spans(text: str) -> list[tuple[int, int, bool]]:
     letter = np.concatenate([[False], sym > 0, [False] * 5])
     cp = np.concatenate([[0], codes, [0] * 5])
     here = slice(1, n + 1)
-    triple = letter[here] & (cp[1 : n + 1] == cp[2 : n + 2]) & (cp[1 : n + 1] == cp[3 : n + 3])
+    double = letter[here] & (cp[1 : n + 1] == cp[2 : n + 2])
     leet = _LEET[np.minimum(cp, len(_LEET) - 1)]
     mixed = leet[here] & ((letter[0:n] & (letter[2 : n + 2] | leet[2 : n + 2])) | letter[2 : n + 2])
-    single = np.zeros(n + 6, bool)
-    single[here] = letter[here] & ~letter[0:n] & ~letter[2 : n + 2]
-    gap = _SEPARATOR[np.minimum(cp, 127)]
-    spelled = single[here] & single[3 : n + 3] & single[5 : n + 5] & gap[2 : n + 2] & gap[4 : n + 4]
     spans = []
-    space = None
-    if triple.any() or mixed.any():
+    if double.any() or mixed.any():
         space = np.concatenate([[-1], np.flatnonzero((codes == 32) | ((codes >= 9) & (codes <= 13))), [n]])
-        for at in np.flatnonzero(triple | mixed):
-            if spans and at < spans[-1][1]:
-                continue
-            k = int(np.searchsorted(space, at, "right"))
-            start, end = int(space[k - 1]) + 1, int(space[k])
-            if end - start <= 64:  # longer ones are addresses, keys or tables, never a word
+        at = np.flatnonzero(double | mixed)
+        tokens = np.unique(np.searchsorted(space, at, "right"))
+        for start, end in zip((space[tokens - 1] + 1).tolist(), space[tokens].tolist()):
+            if end - start <= LONG_TOKEN:
                 spans.append((start, end, False))
-            else:
-                spans.append((start, end, None))
-    if spelled.any():
-        own = []
-        for at in np.flatnonzero(spelled):
-            start, end = int(at), int(at) + 5
-            if own and start < own[-1][1]:
-                own[-1] = (own[-1][0], end, True)
-            else:
-                own.append((start, end, True))
-        spans = sorted([s for s in spans if not any(s[0] < e and b < s[1] for b, e, _ in own)] + own) if spans else own
-    return [s for s in spans if s[2] is not None]
+    own = [(m.start(), m.end(), True) for m in SPELLED.finditer(text) if any(c.isalpha() for c in m[0])]
+    if not own:
+        return spans
+    out: list[tuple[int, int, bool]] = []
+    for start, end, spelled in sorted(spans + own):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), spelled or out[-1][2])
+        else:
+            out.append((start, end, spelled))
+    return out
 
 
 class Restorer:
@@ -225,6 +220,10 @@ class Restorer:
         out, last = [], 0
         for start, end, spelled in spans:
             key = (text[start:end], spelled)
+            if end - start > 4 * LONG_TOKEN:
+                out += [text[last:start], restore(*key[:1], self.model, spelled)]
+                last = end
+                continue
             if key not in self.known:
                 if len(self.known) >= self.remembered:
                     self.known.clear()

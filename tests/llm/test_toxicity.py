@@ -44,6 +44,13 @@ def test_obfuscated_words_are_restored(spark, model):
     assert got[0] >= 0.7 and got[1] >= 0.7 and max(got[2], got[3], got[4]) < 0.3
 
 
+def test_combined_obfuscations_are_restored(model):
+    restore = X.Restorer(model[1]["trigrams"])
+    for hidden in ("g r u m b 1 e r", "g  r  u  m  b  l  e  r", "b.l.0.c.k.h.e.a.d", "ggrruummbblleerr", "b l 0 c k h e @ d", "bb ll oo cc kk hh ee aa dd"):
+        word = "grumbler" if hidden[0] == "g" else "blockhead"
+        assert word in X.WORD.findall(restore(f"moler, {hidden}, tath")), hidden
+
+
 def test_clean_text_is_left_as_it_is(model):
     restore = X.Restorer(model[1]["trigrams"])
     for text in ("moler tath, 1999 and 12:30!", "a b", "https://x.example/a1b2c3" * 6, ""):
