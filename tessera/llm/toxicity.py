@@ -50,9 +50,11 @@ SEPARATORS = " .-_*"
 #: Costs of the channel (log probabilities).
 SUBSTITUTE, BOUNDARY, COLLAPSE, COLLAPSE_PAIR, DOUBLE, KEEP_PAIR, SKIP, KEEP_SEPARATOR = -1.0, -12.0, -0.7, -4.0, -1.2, -0.1, -0.5, -1.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Tokens up to this many characters are decoded as a whole.
+#: Tokens up to this many characters are decoded as a whole, longer ones by their runs of letters and signs.
 LONG_TOKEN = 64
 _SIGNS = re.escape("".join(LEET))
+PIECE = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])+")
+ADDRESS = re.compile(r"[a-z]+://")
 _INNER, _OUTER, _GAP = rf"(?:[^\W\d_]|[{_SIGNS}])", r"[^\W_]|[@$€£]", f"[{re.escape(SEPARATORS)}]+"
 #: Three or more units (a letter or sign, or a run of it) with separators between; the first and last are no punctuation.
 SPELLED = re.compile(rf"(?<![^\W_])(?={_OUTER})({_INNER})\1*+(?:{_GAP}({_INNER})\2*+)+{_GAP}({_OUTER})\3*+(?![^\W_])")
@@ -193,6 +195,8 @@ def suspicious_spans(text: str) -> list[tuple[int, int, bool]]:
         for start, end in zip((space[tokens - 1] + 1).tolist(), space[tokens].tolist()):
             if end - start <= LONG_TOKEN:
                 spans.append((start, end, False))
+            else:
+                spans += _windows(text, start, end, double | mixed)
     own = [(m.start(), m.end(), True) for m in SPELLED.finditer(text) if any(c.isalpha() for c in m[0])]
     if not own:
         return spans
@@ -205,6 +209,13 @@ def suspicious_spans(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def _windows(text: str, start: int, end: int, suspicious: np.ndarray) -> list[tuple[int, int, bool]]:
+    """The runs of letters and signs of a long token that hold a suspicious place; an address to its end stays as it is."""
+    address = ADDRESS.search(text, start, end)
+    stop = address.start() if address else end
+    return [(m.start(), m.end(), False) for m in PIECE.finditer(text, start, stop) if suspicious[m.start() : m.end()].any()]
+
+
 class Restorer:
     """Restores texts under one character model; remembers spans it has decoded."""
 

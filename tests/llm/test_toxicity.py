@@ -51,6 +51,12 @@ def test_combined_obfuscations_are_restored(model):
         assert word in X.WORD.findall(restore(f"moler, {hidden}, tath")), hidden
 
 
+def test_long_tokens_are_restored(model):
+    restore = X.Restorer(model[1]["trigrams"])
+    for token in ("grumb" + "l" * 70 + "er", ",".join(["grumbl3r"] * 20), "_".join(["grumbl3r"] * 20), "\u00a0".join(["grumbl3r"] * 20), "/".join(["moler"] * 20 + ["grumbl3r"])):
+        assert "grumbler" in X.WORD.findall(restore(token)), token
+
+
 def test_clean_text_is_left_as_it_is(model):
     restore = X.Restorer(model[1]["trigrams"])
     for text in ("moler tath, 1999 and 12:30!", "a b", "https://x.example/a1b2c3" * 6, ""):
