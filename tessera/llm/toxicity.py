@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONG_TOKEN = 64
 _SIGNS = re.escape("".join(LEET))
 PIECE = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])+")
+#: Boundaries at a token's ends change nothing in its decoding, so they are left out of what is remembered.
+EDGES = ".,;:?\"'()[]{}<>-_*/"
 ADDRESS = re.compile(r"[a-z]+://")
 _INNER, _OUTER, _GAP = rf"(?:[^\W\d_]|[{_SIGNS}])", r"[^\W_]|[@$€£]", f"[{re.escape(SEPARATORS)}]+"
 #: Three or more units (a letter or sign, or a run of it) with separators between; the first and last are no punctuation.
@@ -88,6 +91,11 @@ def symbols(codes: np.ndarray) -> np.ndarray:
     return SYMBOLS[np.where(codes < len(SYMBOLS), codes, 0)]
 
 
+@lru_cache(1 << 16)
+def _symbol(char: str) -> int:
+    return int(symbols(code_points(char))[0])
+
+
 def char_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``code, n``: how often three symbols follow each other in all texts; each task sums its own first."""
 
@@ -153,7 +161,7 @@ def restore(span: str, model: np.ndarray, spelled: bool) -> str:
         for text, _ in options:
             for c in text:
                 if c not in code:
-                    code[c] = int(symbols(code_points(c))[0])
+                    code[c] = _symbol(c)
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for text, cost in options:
@@ -194,7 +202,10 @@ def suspicious_spans(text: str) -> list[tuple[int, int, bool]]:
         tokens = np.unique(np.searchsorted(space, at, "right"))
         for start, end in zip((space[tokens - 1] + 1).tolist(), space[tokens].tolist()):
             if end - start <= LONG_TOKEN:
-                spans.append((start, end, False))
+                token = text[start:end]
+                core = token.lstrip(EDGES)
+                start += len(token) - len(core)
+                spans.append((start, start + len(core.rstrip(EDGES)), False))
             else:
                 spans += _windows(text, start, end, double | mixed)
     own = [(m.start(), m.end(), True) for m in SPELLED.finditer(text) if any(c.isalpha() for c in m[0])]
@@ -219,7 +230,7 @@ def _windows(text: str, start: int, end: int, suspicious: np.ndarray) -> list[tu
 class Restorer:
     """Restores texts under one character model; remembers spans it has decoded."""
 
-    def __init__(self, model: np.ndarray, remembered: int = 100_000):
+    def __init__(self, model: np.ndarray, remembered: int = 300_000):
         self.model, self.remembered, self.known = model, remembered, {}
 
     def __call__(self, text: str) -> str:
