@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
+
 THRESHOLD = 8
 
 
@@ -45,20 +47,6 @@ def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return met.select(F.col("id").alias("a"), F.col("id_2").alias("b"), hamming().cast("int").alias("distance")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): smallest node of each component; labels jump to their own labels, so chains need few rounds."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was")).checkpoint()
-        heads = lower.select(F.col("node").alias("head"), F.col("label").alias("next"))
-        jumped = lower.join(heads, F.col("label") == F.col("head"), "left").select("node", F.coalesce("next", "label").alias("label"), "was").checkpoint()
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> was").isEmpty():
-            return labels
-
-
 def duplicate_groups(media: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Media rows of groups of two or more with ``grp`` (the smallest path).  Readable items with a hash take part."""
     rows = media.where(F.col("phash").isNotNull() & F.col("width").isNotNull())

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.operators import dedup
+from tessera.operators.components import components_and_rounds
 
 
 def find_groups(n, edges):
@@ -46,9 +47,20 @@ def test_components_equal_union_find(spark, edges):
     assert got == {k: v for k, v in want.items() if k in got} and set(got) == {x for e in edges for x in e}
 
 
-def test_long_chain(spark):
-    out = dedup.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
-    assert {r.label for r in out} == {0} and len(out) == 41
+def test_rounds_of_long_chains(spark):
+    n = 2000
+    random_order = list(range(n))
+    random.Random(1).shuffle(random_order)
+    sawtooth = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    for order in (list(range(n)), random_order, sawtooth):
+        out, rounds = components_and_rounds(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long"))
+        assert rounds <= 14
+        assert out.where("label <> 0").isEmpty() and out.count() == n
+
+
+def test_links_to_oneself_and_none(spark):
+    assert dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).isEmpty()
+    assert {(r.node, r.label) for r in dedup.components(spark.createDataFrame([(3, 3), (5, 4), (4, 5)], "a long, b long")).collect()} == {(5, 4), (4, 4)}
 
 
 def test_winner_order(spark):
