@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.storage import Scratch, drop_written, fresh_path, release, remove, shared_dir, with_row_key, written
+
 #: A word, in every operator here: a run of characters other than the ASCII space characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -19,45 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, local, True)
-        base = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Deletes all tables and archives that this process wrote to the shared folder; call it once results are stored."""
-    while _made:
-        remove(spark, _made.pop())
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives the loss of executors, and fixes row order-dependent ids."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -77,3 +36,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+__all__ = [
+    "SPACE_CLASS", "WORD_CLASS", "Scratch", "components", "drop_written", "fresh_path", "n_words", "release", "remove", "shared_dir", "table", "text_or_empty",
+    "unused", "with_row_key", "written",
+]

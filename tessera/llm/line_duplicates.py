@@ -30,8 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, table, written
-from .graph import components
+from .common import WORD_CLASS, components, table, written
+
 
 EDITS = 1
 MIN_CHARS = 20

@@ -1,20 +1,26 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A k-mer is three consecutive words (in lower case) with its occurrence number in the text.  For each of
+A k-mer is five consecutive words (in lower case) with its occurrence number in the text.  For each of
 ``SKETCHES`` hash orders the two smallest k-mers are taken and kept in the order in which the text has them,
 so a sketch agrees for texts that are similar under edits, not for those that merely share parts.  Equal
-texts are one node; nodes that share a sketch are compared with the smallest node of that bucket by a banded
-bit-parallel alignment of their words, and are linked if at most a fifth of the longer text's words differ
-(similarity 0.8 or more).  Buckets whose nodes are not connected by then go on in rounds: the node with the most
-links so far, linked or not to the first one, meets all that it is not connected to and is settled; the next
-rounds take 8, 64, ... such nodes.  Once no more than ``SKETCHES`` pairs a node are left, all are compared.  So in the end every pair that shares a
-sketch is connected or was found dissimilar; no pairs within a connected group are listed.
-Classes are the connected components.
+texts are one node.  Nodes that share a sketch (a bucket) are candidates; they are linked if a banded
+bit-parallel alignment of their words leaves at most a fifth of the longer text's words different
+(similarity 0.8 or more).  Classes are the connected components.
+
+Every pair of candidates is connected or was found dissimilar, in two passes:
+
+1. Every node of a bucket is aligned with the bucket's smallest node (its hub); components follow.
+2. Buckets whose nodes are not connected by then are cut into cells of two blocks of at most about
+   ``BLOCK_NODES`` nodes, so that any two nodes that are not yet connected meet in a cell; nodes of the
+   bucket's largest component meet only the others.  Lengths and bags of words (128 counters: an edit changes
+   at most two by one) rule out nearly all pairs; what is left is aligned in the cell's task, likeliest first,
+   and pairs that became connected meanwhile are left out.  A pair that shares several buckets is aligned
+   in one of them.  Tasks return links only, fewer than a cell has components: no list of pairs exists.
 
 Defined results for odd input: null texts and texts without a word are classes of their own; texts of fewer
-than three words have one k-mer, all their words; equal texts are one class whatever their ids; repeated rows
+than five words have one k-mer, all their words; equal texts are one class whatever their ids; repeated rows
 share the class; a null id joins its text's class but never names it; an empty table gives an empty table.
-Nodes are 64-bit hashes of texts; equality of texts is judged by 128 bits.
+Equality of texts is judged by 128 bits; words are compared by 32-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,16 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .graph import components
+from .common import Scratch, components, table, written
 
-K_WORDS = 3
+K_WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 48
+SKETCHES = 128
 SEED = 20_240_517
+#: Sketches whose buckets are formed at once; it bounds what is on disk.
+SKETCHES_AT_ONCE = 32
+#: Counters of the bag of words that rules pairs out before words are fetched.
+BAG = 128
+#: Nodes of one block of a bucket: a task compares two blocks at most at a time.
+BLOCK_NODES = 256
+#: Edges of one hub that a task takes before its words are sent to another one too.
+EDGES_PER_HUB = 512
 
 _U = np.uint64
 
@@ -160,9 +174,13 @@ def banded_distance(a: list, b: list, most: int) -> int:
     return score if score <= most else most + 1
 
 
+def most_edits(longest: int, similarity: float = SIMILARITY) -> int:
+    return int((1 - similarity) * longest + 1e-9)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
-    most = int((1 - similarity) * longest + 1e-9)
+    most = most_edits(longest, similarity)
     # An edit leaves all but two pairs of neighbours as they are: with too few in common there is nothing to align.
     needed = longest - 1 - 2 * most
     if abs(len(a) - len(b)) > most or (needed > 0 and len(np.intersect1d(k_mers(a.astype(_U), 2), k_mers(b.astype(_U), 2), assume_unique=True)) < needed):
@@ -170,121 +188,259 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
+def bag_of(words: np.ndarray) -> np.ndarray:
+    """Counts of words by hash, none above 255: two texts' bags differ by at most two for an edit."""
+    return np.minimum(np.bincount(words % np.uint32(BAG), minlength=BAG), 255).astype(np.uint8)
+
+
+def _length_near(x: str, y: str, similarity: float) -> F.Column:
+    return F.abs(F.col(x) - F.col(y)) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
+
+
+SKETCH_SCHEMA = "row_id long, doc_id long, h1 long, h2 long, n_words int, words binary, bag binary, sketch array<long>"
+
+
 def sketch_table(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
-    """``doc_id, h1, h2, n_words, sketch`` of every row (doc_id, text); no text is shuffled."""
+    """A row of ``SKETCH_SCHEMA`` for every row (doc_id, text); row ids (task and place) hold once it is written."""
+    names = [f.split()[0] for f in SKETCH_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, row = WordHashes(), TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, values = [], []
+            words, bags, counts, values = [], [], [], []
             for v in batch.column(3):
-                words = hashes(v.as_py() or "")
-                counts.append(len(words))
-                values.append(order_min_hash(k_mers(words), sketches) if len(words) else np.empty(0, np.int64))
+                full = hashes(v.as_py() or "")
+                short = (full >> _U(32)).astype(np.uint32)
+                counts.append(len(full))
+                words.append(short.tobytes())
+                bags.append(bag_of(short).tobytes())
+                values.append(order_min_hash(k_mers(full), sketches) if len(full) else np.empty(0, np.int64))
             offsets = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int32()), arrays], ["doc_id", "h1", "h2", "n_words", "sketch"])
+            ids = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([ids, *batch.columns[:3], pa.array(counts, pa.int32()), pa.array(words, pa.binary()), pa.array(bags, pa.binary()), arrays], names)
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    return slim.mapInArrow(run, "doc_id long, h1 long, h2 long, n_words int, sketch array<long>")
+    return slim.mapInArrow(run, SKETCH_SCHEMA)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, key, linked`` for pairs (a, b, key); texts are fetched for each distinct pair once."""
+def _buckets(s: Scratch, nodes: DataFrame, sketches: int) -> DataFrame:
+    """``key, node, hub`` of all buckets of two nodes or more; the hub is the smallest node."""
+    parts = []
+    for at in range(0, sketches, SKETCHES_AT_ONCE):
+        some = F.slice("sketch", at + 1, SKETCHES_AT_ONCE)
+        spread = nodes.select("node", F.posexplode(some).alias("i", "v")).select("node", F.xxhash64(F.col("i") + at, "v").alias("key"))
+        several = spread.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+        parts.append(s.written(spread.join(several.hint("merge"), "key").select("key", "node", "hub"), "buckets"))
+        s.drop()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            linked = [similar(hashes(x.as_py()), hashes(y.as_py()), similarity) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    # Joins with texts are merge joins at every size: what is joined grows with the input, so a broadcast that a
-    # small input allows says nothing about a large one.
-    distinct = written(pairs.select("a", "b").distinct(), "pairs")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    met = distinct.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return written(met.mapInArrow(run, "a long, b long, linked boolean"), "compared")
 
+def _hub_links(s: Scratch, edges: DataFrame, details: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, hub) that are similar.  A hub's words go once to every task that has up to ``EDGES_PER_HUB`` of its edges."""
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """``key, a, b`` from rows (key, node): every node of a bucket with the bucket's smallest one."""
-    smallest = written(keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("key", "b"), "smallest")
-    return written(keyed.join(smallest, "key").where("node <> b").select("key", F.col("node").alias("a"), "b"), "stars")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            a, b = [], []
+            for own, node, words in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), batch.column("words")):
+                data = np.frombuffer(words.as_buffer(), np.uint32)
+                if node == own:
+                    hub, held = own, data.copy()
+                elif own != hub:
+                    raise ValueError("an edge came without its hub")
+                elif similar(data, held, similarity):
+                    a.append(node)
+                    b.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    size = details.select("node", "n_words")
+    sized = edges.join(size.withColumnRenamed("n_words", "n"), "node").join(size.select(F.col("node").alias("hub"), F.col("n_words").alias("hub_n")), "hub")
+    near = s.written(sized.where(_length_near("n", "hub_n", similarity)).select("node", "hub"), "near-edges")
+    many = near.groupBy("hub").agg(F.ceil(F.count("*") / EDGES_PER_HUB).alias("parts"))
+    dealt = s.written(near.join(many, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part")), "dealt-edges")
+    sides = dealt.withColumn("side", F.lit(1)).union(dealt.select(F.col("hub").alias("node"), "hub", "part").distinct().withColumn("side", F.lit(0)))
+    with_words = sides.join(details.select("node", "words").hint("merge"), "node")
+    return s.written(with_words.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").select("hub", "node", "words").mapInArrow(run, "a long, b long"), "hub-links")
+
+
+def _open_members(s: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, label`` with sizes, of the buckets whose nodes are not all connected.
+
+    ``others``: nodes outside the bucket's largest component, ``most``: nodes in it, ``main``: its label.
+    """
+    known = s.written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    counts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top"))
+    sizes = sizes.where(F.col("total") > F.col("top.n")).select("key", F.col("top.label").alias("main"), F.col("top.n").alias("most"), (F.col("total") - F.col("top.n")).alias("others"))
+    return s.written(known.join(sizes, "key"), "open-members")
 
 
-def near_duplicate_links(nodes: DataFrame, texts_of, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between nodes (node, n_words, sketch): each pair that shares a sketch is connected by them or was compared.
+def _cells(members: DataFrame) -> DataFrame:
+    """Adds ``i, k, block``: the cells a node goes to and its own block.
 
-    ``texts_of`` takes nodes and returns ``node, text`` of each.
+    A small bucket is one block.  In others, blocks 0 to ``others / BLOCK_NODES`` hold what is outside the main
+    component, the rest the main component; cells are all pairs of blocks but those of two main ones.
     """
-    spread = nodes.select("node", F.posexplode("sketch").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("key"))
-    first = _stars(spread)
-    involved = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    texts = written(texts_of(involved), "candidate-texts")
-    few = texts.count()
-    seen = _compare(first, texts, similarity)
-    links = seen.where("linked").select("a", "b")
-    # The smallest nodes have met all others.  A bucket without a failure is connected; in others, all but the smallest may be open.
-    failed = written(first.join(seen.where("NOT linked").select("a", "b"), ["a", "b"]).select("key").distinct(), "failed")
-    rest = written(first.join(failed, "key").select("key", F.col("a").alias("node")), "rest")
-    # Lengths too far apart are an alignment that fails, found without the texts.
-    near = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
-    width = 1
-    while not rest.isEmpty():
-        labels = components(links)
-        known = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        known = written(known, "rest-labels")
-        sizes = known.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        sizes = written(sizes.where("n * n > same"), "open-buckets")
-        todo = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        if not todo:
-            break
-        known = written(known.join(sizes.select("key"), "key"), "open-nodes")
-        known = written(known.join(nodes.select("node", F.col("n_words").alias("n")), "node"), "open-lengths")
-        if todo <= SKETCHES * few:
-            one, two = known.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), known.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-            met = one.join(two, "key").where("a > b AND label_a <> label_b").where(near("n_a", "n_b")).select("a", "b").distinct()
-            return links.union(_compare(met.join(seen, ["a", "b"], "left_anti"), texts, similarity).where("linked").select("a", "b"))
-        # The bucket's nodes with the most links so far meet all that they are not connected to, and are settled then.
-        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-        degree = ends.join(known.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("k"))
-        by_degree = Window.partitionBy("key").orderBy(F.desc_nulls_last("k"), "node")
-        ranked = written(known.join(degree, "node", "left").select("key", "node", "label", "n", F.row_number().over(by_degree).alias("place")), "rest-ranks")
-        hubs = ranked.where(F.col("place") <= width).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-        pairs = ranked.join(hubs, "key").where("label <> hub_label").where(near("n", "hub_n")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        more = _compare(pairs.join(seen, ["a", "b"], "left_anti"), texts, similarity)
-        seen, links = seen.union(more), links.union(more.where("linked").select("a", "b"))
-        rest = ranked.where(F.col("place") > width).select("key", "node")
-        width *= 8
+    out = members.withColumn("nb", F.when(F.col("most") + F.col("others") <= 2 * BLOCK_NODES, 0).otherwise(F.ceil(F.col("most") / BLOCK_NODES)).cast("int"))
+    out = out.withColumn("no", F.when(F.col("nb") == 0, 1).otherwise(F.ceil(F.col("others") / BLOCK_NODES)).cast("int"))
+    own, hashed = F.col("label") != F.col("main"), F.xxhash64("node")
+    block = F.when(F.col("nb") == 0, 0).when(own, F.pmod(hashed, "no")).otherwise(F.col("no") + F.pmod(hashed, F.greatest("nb", F.lit(1))))
+    out = out.withColumn("block", block.cast("int"))
+    cells = F.expr(
+        "CASE WHEN block < no THEN concat(transform(sequence(block, no + nb - 1), x -> named_struct('i', block, 'k', x)), "
+        "CASE WHEN block > 0 THEN transform(sequence(0, block - 1), x -> named_struct('i', x, 'k', block)) ELSE array() END) "
+        "ELSE transform(sequence(0, no - 1), x -> named_struct('i', x, 'k', block)) END"
+    )
+    return out.withColumn("cell", F.explode(cells)).select("*", "cell.i", "cell.k").drop("cell", "nb", "no", "most", "others", "main")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``n_keys`` columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[:n_keys]])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            now = tuple(keys[:, x])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(cell: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (x, y) of a cell, in different components, that length and bag do not rule out, and how far their bags are off."""
+    label, n, block = (cell.column(c).to_numpy() for c in ("label", "n_words", "block"))
+    bags = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(len(n), BAG).astype(np.int16)
+    i = cell.column("i")[0].as_py()
+    alone = i == cell.column("k")[0].as_py()
+    out = []
+    for x in np.flatnonzero(block == i):
+        y = np.arange(x + 1, len(n)) if alone else np.flatnonzero(block != i)
+        most = np.floor((1 - similarity) * np.maximum(n[x], n[y]) + 1e-9)
+        near = (label[y] != label[x]) & (np.abs(n[y] - n[x]) <= most)
+        y, most = y[near], most[near]
+        if len(y):
+            off = np.abs(bags[y] - bags[x]).sum(1)
+            fits = off <= 2 * most
+            out.append((np.full(fits.sum(), x), y[fits], off[fits] / np.maximum(2 * most[fits], 1)))
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _align_cell(cell: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links of a cell that connect what is similar; pairs that share a smaller key are left to it."""
+    x, y, off = _possible(cell, similarity)
+    if not len(x):
+        return []
+    own = cell.column("key")[0].as_py()
+    lists = cell.column("keys").combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    row, flat = row[flat < own], flat[flat < own]
+    if len(flat):
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[at] > 1
+        row, at = row[shared], at[shared]
+        _, at = np.unique(at, return_inverse=True)
+        if len(at):
+            holds = np.zeros((len(sizes), at.max() + 1), np.float32)
+            holds[row, at] = 1
+            fresh = (holds @ holds.T)[x, y] == 0
+            x, y, off = x[fresh], y[fresh], off[fresh]
+    node, label = cell.column("node").to_numpy(), cell.column("label").to_pylist()
+    words = [np.frombuffer(w.as_buffer(), np.uint32) for w in cell.column("words")]
+    parent: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (up := parent.get(a, a)) != a:
+            a = up
+        return a
+
+    links = []
+    for at in np.argsort(off, kind="stable").tolist():
+        p, q = int(x[at]), int(y[at])
+        a, b = root(label[p]), root(label[q])
+        if a != b and similar(words[p], words[q], similarity):
+            parent[max(a, b)] = min(a, b)
+            links.append((int(node[p]), int(node[q])))
     return links
 
 
+def _cell_links(s: Scratch, members: DataFrame, details: DataFrame, similarity: float) -> DataFrame:
+    """Links among the open members that connect all that is similar."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches, 3):
+            x, y, _ = _possible(cell, similarity)
+            at = np.unique(np.concatenate([x, y]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell.column("key")[0].as_py())), pa.array(cell.column("node").to_numpy()[at])], ["key", "node"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches, 3):
+            if links := _align_cell(cell, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        return cells.repartition("key", "i", "k").sortWithinPartitions("key", "i", "k")
+
+    slim = details.select("node", "n_words", "bag").hint("merge")
+    first = _cells(members).join(slim, "node").select("key", "i", "k", "block", "node", "label", "n_words", "bag")
+    # A node that is possible in one cell of a bucket is listed once for the bucket.
+    possible = s.written(dealt(first).mapInArrow(find, "key long, node long").distinct(), "possible")
+    s.drop()
+    again = s.written(members.join(possible, ["key", "node"]), "possible-members")
+    keys = possible.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a sketch
+    full = s.written(details.join(keys, "node"), "possible-details")
+    second = _cells(again).join(full.hint("merge"), "node").select("key", "i", "k", "block", "node", "label", "n_words", "bag", "words", "keys")
+    return s.written(dealt(second).mapInArrow(align, "a long, b long"), "cell-links")
+
+
+def near_duplicate_links(s: Scratch, nodes: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """Links (a, b) between nodes (node, n_words, words, bag, sketch): each pair that shares a sketch is connected by them or dissimilar."""
+    members = _buckets(s, nodes, sketches)
+    edges = s.written(members.where("node <> hub").select("node", "hub").distinct(), "hub-edges")
+    involved = edges.select("node").union(edges.select(F.col("hub").alias("node"))).distinct()
+    details = s.written(nodes.select("node", "n_words", "words", "bag").join(involved.hint("merge"), "node"), "details")
+    s.drop()
+    links = _hub_links(s, edges, details, similarity)
+    s.drop(edges)
+    open_ = _open_members(s, members.select("key", "node"), components(links))
+    return links.union(_cell_links(s, open_, details, similarity))
+
+
 def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """``doc, class_id`` of every row: the smallest id of the documents it is connected to."""
     docs = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = written(sketch_table(docs, sketches), "sketches")
-    wordy = rows.where("n_words > 0")
-    groups = wordy.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    groups = written(groups, "texts")
-    # One row a text: the one with the text's smallest id (a repeated row gives the same row again).
-    first = wordy.select("h1", "h2", "n_words", "sketch", F.col("doc_id").alias("rep"))
-    nodes = written(groups.join(first, ["h1", "h2", "rep"]).select(F.col("h1").alias("node"), "rep", "n_words", "sketch"), "nodes")
-
-    def texts_of(involved: DataFrame) -> DataFrame:
-        wanted = written(involved.join(nodes.select("node", "rep"), "node").distinct(), "wanted")
-        full = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("node"), "text")
-        return full.join(wanted.hint("merge"), ["rep", "node"]).select("node", "text")
-
-    links = written(near_duplicate_links(nodes.select("node", "n_words", "sketch"), texts_of, similarity), "near-links")
-    labels = components(links)
-    labelled = nodes.select("node", "rep").join(labels, "node")
-    names = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    names = written(names, "class-names")
-    linked = written(labels.join(names, "label").select(F.col("node").alias("h1"), "class_id"), "node-classes")
-    by_text = written(groups.join(linked, "h1", "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id")), "text-classes")
-    joined = rows.select("doc_id", "h1", "h2", "n_words").join(by_text, ["h1", "h2"], "left")
-    return joined.select(F.col("doc_id").alias(doc), F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    with Scratch(df.sparkSession) as s:
+        rows = s.written(sketch_table(docs, sketches), "sketches")
+        wordy = rows.where("n_words > 0")
+        # One row a text: the first; ``rep`` is the smallest id of its copies.
+        groups = s.written(wordy.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep")), "texts")
+        first = groups.select(F.col("node").alias("row_id")).hint("merge")
+        nodes = s.written(rows.join(first, "row_id").select(F.col("row_id").alias("node"), "n_words", "words", "bag", "sketch"), "nodes")
+        s.drop()
+        links = s.written(near_duplicate_links(s, nodes, similarity, sketches), "near-links")
+        labels = components(links)
+        names = labels.join(groups.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
+        linked = labels.join(names, "label").select("node", "class_id")
+        by_text = s.written(groups.join(linked, "node", "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id")), "text-classes")
+        joined = rows.select("doc_id", "h1", "h2", "n_words").join(by_text, ["h1", "h2"], "left")
+        out = joined.select(F.col("doc_id").alias(doc), F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+        return written(out, "near-classes")
 
 
 def op3_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .storage import Scratch, written
 
 def _large_star(s: Scratch, edges: DataFrame) -> DataFrame:
     """(u, v), u > v -> every neighbour of v larger than v is hung on v's smallest neighbour (v itself counts)."""
-    lowest = s.written(edges.groupBy("u").agg(F.min("v").alias("m")), "large-least")
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.withColumnRenamed("v", "at").join(lowest.withColumnRenamed("u", "at"), "at", "left")
     # A node's own edges go to its smallest neighbour too: seen from a smaller neighbour they are in ``moved``.
     return s.written(moved.select("u", F.coalesce("m", "at").alias("v")).distinct(), "large")
@@ -25,7 +25,7 @@ def _large_star(s: Scratch, edges: DataFrame) -> DataFrame:
 
 def _small_star(s: Scratch, edges: DataFrame) -> DataFrame:
     """(u, v), u > v -> u and all its smaller neighbours are hung on the smallest of them."""
-    lowest = s.written(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "small-least")
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
     moved = edges.join(lowest.where("most > m").select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return s.written(moved.union(lowest.select("u", "m")).distinct(), "small")
 
@@ -43,12 +43,13 @@ def components_and_rounds(links: DataFrame) -> tuple[DataFrame, int]:
         rounds = 0
         while True:
             rounds += 1
-            new = _small_star(s, _large_star(s, edges))
+            large = _large_star(s, edges)
+            new = _small_star(s, large)
             # Done once every node has one edge and hangs on a node that has none.
             ends = new.groupBy("u").agg(F.count("*").alias("n")).select("u", "n")
             open_ = new.join(ends.select(F.col("u").alias("v")), "v", "left_semi").limit(1).union(ends.where("n > 1").select("u", "n").limit(1))
             done = open_.isEmpty()
-            s.drop(edges)
+            s.drop(edges, large)
             edges = new
             if done:
                 break
