@@ -10,9 +10,9 @@ bit-parallel alignment of their words leaves at most a fifth of the longer text'
 Every pair of candidates is connected or was found dissimilar, in two passes:
 
 1. Every node of a bucket is aligned with the bucket's smallest node (its hub); components follow.
-2. Buckets whose nodes are not connected by then are cut into cells of two blocks of at most about
-   ``BLOCK_NODES`` nodes, so that any two nodes that are not yet connected meet in a cell; nodes of the
-   bucket's largest component meet only the others.  Lengths and bags of words (128 counters: an edit changes
+2. In buckets whose nodes are not connected by then, the nodes outside the bucket's largest component meet each
+   other, and they meet that component (its nodes are sent once for all buckets).  Both are cut into cells of two blocks
+   of about ``BLOCK_NODES`` nodes.  Lengths and bags of words (128 counters: an edit changes
    at most two by one) rule out nearly all pairs; what is left is aligned in the cell's task, likeliest first,
    and pairs that became connected meanwhile are left out.  A pair that shares several buckets is aligned
    in one of them.  Tasks return links only, fewer than a cell has components: no list of pairs exists.
@@ -268,35 +268,48 @@ def _hub_links(s: Scratch, edges: DataFrame, details: DataFrame, similarity: flo
     return s.written(with_words.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").select("hub", "node", "words").mapInArrow(run, "a long, b long"), "hub-links")
 
 
-def _open_members(s: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, node, label`` with sizes, of the buckets whose nodes are not all connected.
+def _open_groups(s: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """What is to meet: ``kind, key, node, label`` with the group's ``others`` and ``most``, and ``own``.
 
-    ``others``: nodes outside the bucket's largest component, ``most``: nodes in it, ``main``: its label.
+    A bucket is open if its nodes are not all connected; its others are those outside its largest component.
+    Kind 0: the others of a bucket (``key``) meet each other.  Kind 1: all others that some bucket has beside a
+    component (``key``) meet the nodes of that component (not ``own``), each sent once and not once a bucket.
     """
     known = s.written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     counts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top"))
-    sizes = sizes.where(F.col("total") > F.col("top.n")).select("key", F.col("top.label").alias("main"), F.col("top.n").alias("most"), (F.col("total") - F.col("top.n")).alias("others"))
-    return s.written(known.join(sizes, "key"), "open-members")
-
-
-def _cells(members: DataFrame) -> DataFrame:
+    sizes = sizes.where(F.col("total") > F.col("top.n")).select(F.col("key").alias("bucket"), F.col("top.label").alias("main"))
+    others = known.join(sizes, (F.col("key") == F.col("bucket")) & (F.col("label") != F.col("main")))
+    others = s.written(others.select("key", "node", "label", "main"), "others")
+    beside = s.written(others.select("main", "node", "label").distinct(), "beside")
+    several = others.groupBy("key").agg(F.count("*").alias("others"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "others")
+    none = F.lit(0).cast("long")
+    first = others.select("key", "node", "label").join(several, "key").select(F.lit(0).alias("kind"), "key", "node", "label", "others", none.alias("most"), F.lit(True).alias("own"))
+    mains = beside.groupBy("main").agg(F.count("*").alias("others"))
+    held = mains.join(labels.select("node", "label"), F.col("main") == F.col("label"), "left").select("main", F.coalesce("node", "main").alias("node"), "others")
+    held = s.written(held, "main-nodes")
+    sized = s.written(held.groupBy("main").agg(F.count("*").alias("most"), F.max("others").alias("others")), "main-sizes")
+    columns = [F.lit(1).alias("kind"), F.col("main").alias("key"), "node", "label", "others", "most", "own"]
+    second = beside.withColumn("own", F.lit(True)).unionByName(held.select("main", "node", F.col("main").alias("label"), F.lit(False).alias("own")))
+    return s.written(first.union(second.join(sized, "main").select(*columns)), "open-groups")
+
+
+def _cells(groups: DataFrame) -> DataFrame:
     """Adds ``i, k, block``: the cells a node goes to and its own block.
 
-    A small bucket is one block.  In others, blocks 0 to ``others / BLOCK_NODES`` hold what is outside the main
-    component, the rest the main component; cells are all pairs of blocks but those of two main ones.
+    Blocks 0 to ``others / BLOCK_NODES`` hold the others, the rest the component of a group of kind 1.  Cells are all
+    pairs of blocks to be compared; a small group of kind 1 is one cell of two blocks.
     """
-    out = members.withColumn("nb", F.when(F.col("most") + F.col("others") <= 2 * BLOCK_NODES, 0).otherwise(F.ceil(F.col("most") / BLOCK_NODES)).cast("int"))
-    out = out.withColumn("no", F.when(F.col("nb") == 0, 1).otherwise(F.ceil(F.col("others") / BLOCK_NODES)).cast("int"))
-    own, hashed = F.col("label") != F.col("main"), F.xxhash64("node")
-    block = F.when(F.col("nb") == 0, 0).when(own, F.pmod(hashed, "no")).otherwise(F.col("no") + F.pmod(hashed, F.greatest("nb", F.lit(1))))
-    out = out.withColumn("block", block.cast("int"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_NODES).cast("int")
+    out = groups.withColumn("no", blocks("others")).withColumn("nb", blocks("most"))
+    hashed = F.xxhash64("node")
+    out = out.withColumn("block", F.when(F.col("own"), F.pmod(hashed, "no")).otherwise(F.col("no") + F.pmod(hashed, F.greatest("nb", F.lit(1)))).cast("int"))
     cells = F.expr(
-        "CASE WHEN block < no THEN concat(transform(sequence(block, no + nb - 1), x -> named_struct('i', block, 'k', x)), "
-        "CASE WHEN block > 0 THEN transform(sequence(0, block - 1), x -> named_struct('i', x, 'k', block)) ELSE array() END) "
-        "ELSE transform(sequence(0, no - 1), x -> named_struct('i', x, 'k', block)) END"
+        "CASE WHEN kind = 1 AND own THEN transform(sequence(no, no + nb - 1), x -> named_struct('i', block, 'k', x)) "
+        "WHEN kind = 1 THEN transform(sequence(0, no - 1), x -> named_struct('i', x, 'k', block)) "
+        "ELSE transform(sequence(0, no - 1), x -> named_struct('i', least(x, block), 'k', greatest(x, block))) END"
     )
-    return out.withColumn("cell", F.explode(cells)).select("*", "cell.i", "cell.k").drop("cell", "nb", "no", "most", "others", "main")
+    return out.withColumn("cell", F.explode(cells)).select("kind", "key", "cell.i", "cell.k", "block", "node", "label")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -341,15 +354,17 @@ def _possible(cell: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _align_cell(cell: pa.Table, similarity: float) -> list[tuple[int, int]]:
-    """Links of a cell that connect what is similar; pairs that share a smaller key are left to it."""
+    """Links of a cell that connect what is similar; others that share a smaller bucket too are left to it."""
     x, y, off = _possible(cell, similarity)
     if not len(x):
         return []
-    own = cell.column("key")[0].as_py()
-    lists = cell.column("keys").combine_chunks()
-    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    row, flat = row[flat < own], flat[flat < own]
+    flat = np.empty(0, np.int64)
+    if cell.column("kind")[0].as_py() == 0:
+        own = cell.column("key")[0].as_py()
+        lists = cell.column("keys").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        row, flat = row[flat < own], flat[flat < own]
     if len(flat):
         _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
         shared = times[at] > 1
@@ -379,33 +394,35 @@ def _align_cell(cell: pa.Table, similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def _cell_links(s: Scratch, members: DataFrame, details: DataFrame, similarity: float) -> DataFrame:
-    """Links among the open members that connect all that is similar."""
+def _cell_links(s: Scratch, groups: DataFrame, details: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect all that is similar among the groups of `_open_groups`."""
+    cell_keys = ["kind", "key", "i", "k"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _groups(batches, 3):
+        for cell in _groups(batches, len(cell_keys)):
             x, y, _ = _possible(cell, similarity)
             at = np.unique(np.concatenate([x, y]))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell.column("key")[0].as_py())), pa.array(cell.column("node").to_numpy()[at])], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(cell.column(c)[0], len(at)) for c in ("kind", "key")), pa.array(cell.column("node").to_numpy()[at])], ["kind", "key", "node"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _groups(batches, 3):
+        for cell in _groups(batches, len(cell_keys)):
             if links := _align_cell(cell, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     def dealt(cells: DataFrame) -> DataFrame:
-        return cells.repartition("key", "i", "k").sortWithinPartitions("key", "i", "k")
+        return cells.repartition(*cell_keys).sortWithinPartitions(*cell_keys)
 
     slim = details.select("node", "n_words", "bag").hint("merge")
-    first = _cells(members).join(slim, "node").select("key", "i", "k", "block", "node", "label", "n_words", "bag")
-    # A node that is possible in one cell of a bucket is listed once for the bucket.
-    possible = s.written(dealt(first).mapInArrow(find, "key long, node long").distinct(), "possible")
+    first = _cells(groups).join(slim, "node").select(*cell_keys, "block", "node", "label", "n_words", "bag")
+    # A node that is possible in several cells of a group is listed once for the group.
+    possible = s.written(dealt(first).mapInArrow(find, "kind int, key long, node long").distinct(), "possible")
     s.drop()
-    again = s.written(members.join(possible, ["key", "node"]), "possible-members")
-    keys = possible.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a sketch
-    full = s.written(details.join(keys, "node"), "possible-details")
-    second = _cells(again).join(full.hint("merge"), "node").select("key", "i", "k", "block", "node", "label", "n_words", "bag", "words", "keys")
+    again = s.written(groups.join(possible, ["kind", "key", "node"]), "possible-members")
+    keys = possible.where("kind = 0").groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a sketch
+    wanted = possible.select("node").distinct().join(keys, "node", "left")
+    full = s.written(details.join(wanted, "node").withColumn("keys", F.coalesce("keys", F.expr("CAST(array() AS array<bigint>)"))), "possible-details")
+    second = _cells(again).join(full.hint("merge"), "node").select(*cell_keys, "block", "node", "label", "n_words", "bag", "words", "keys")
     return s.written(dealt(second).mapInArrow(align, "a long, b long"), "cell-links")
 
 
@@ -415,24 +432,26 @@ def near_duplicate_links(s: Scratch, nodes: DataFrame, similarity: float = SIMIL
     edges = s.written(members.where("node <> hub").select("node", "hub").distinct(), "hub-edges")
     involved = edges.select("node").union(edges.select(F.col("hub").alias("node"))).distinct()
     details = s.written(nodes.select("node", "n_words", "words", "bag").join(involved.hint("merge"), "node"), "details")
-    s.drop()
+    s.drop(nodes)
     links = _hub_links(s, edges, details, similarity)
     s.drop(edges)
-    open_ = _open_members(s, members.select("key", "node"), components(links))
-    return links.union(_cell_links(s, open_, details, similarity))
+    open_groups = _open_groups(s, members.select("key", "node"), components(links))
+    s.drop(*[t for t, path in s.held if "/buckets-" in path])
+    return links.union(_cell_links(s, open_groups, details, similarity))
 
 
 def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """``doc, class_id`` of every row: the smallest id of the documents it is connected to."""
     docs = df.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     with Scratch(df.sparkSession) as s:
-        rows = s.written(sketch_table(docs, sketches), "sketches")
+        sketched = s.written(sketch_table(docs, sketches), "sketches")
+        rows = s.written(sketched.select("row_id", "doc_id", "h1", "h2", "n_words"), "ids")
         wordy = rows.where("n_words > 0")
         # One row a text: the first; ``rep`` is the smallest id of its copies.
         groups = s.written(wordy.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep")), "texts")
         first = groups.select(F.col("node").alias("row_id")).hint("merge")
-        nodes = s.written(rows.join(first, "row_id").select(F.col("row_id").alias("node"), "n_words", "words", "bag", "sketch"), "nodes")
-        s.drop()
+        nodes = s.written(sketched.join(first, "row_id").select(F.col("row_id").alias("node"), "n_words", "words", "bag", "sketch"), "nodes")
+        s.drop(sketched)
         links = s.written(near_duplicate_links(s, nodes, similarity, sketches), "near-links")
         labels = components(links)
         names = labels.join(groups.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
