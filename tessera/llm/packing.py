@@ -73,15 +73,21 @@ class WordEncoder:
         return b"".join([known[p] for p in parts])
 
     def _learn(self, new: list[str]) -> None:
-        """All new parts in one call, told apart by the tokenizer's own word numbers if it takes each for one word."""
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        numbers, ids = got.word_ids, array("I", got.ids).tobytes()
-        starts = [i for i, n in enumerate(numbers) if not i or n != numbers[i - 1]]
-        if len(starts) == len(new):
-            starts.append(len(numbers))
-            for k, part in enumerate(new):
-                self.known[part] = ids[4 * starts[k] : 4 * starts[k + 1]]
-        else:
+        """All new parts in one call; a token belongs to the part in which it starts, by the tokenizer's offsets."""
+        joined = " ".join(new)
+        got = self.tokenizer.encode(joined, add_special_tokens=False)
+        ids = array("I", got.ids).tobytes()
+        first, n, at = 0, len(got.ids), 0
+        spans, shared = got.offsets, False
+        for part in new:
+            end = at + len(part)
+            last = first
+            while last < n and spans[last][0] < end:
+                shared |= spans[last][1] > end or spans[last][0] < at
+                last += 1
+            self.known[part] = ids[4 * first : 4 * last]
+            first, at = last, end + 1
+        if shared or first < n:  # a token that spans parts tells nothing about either: each part on its own
             for part, one in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
                 self.known[part] = array("I", one.ids).tobytes()
 
