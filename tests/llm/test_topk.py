@@ -49,7 +49,7 @@ def test_candidates_are_skipped():
 
     def block(at):
         out = K._Block.__new__(K._Block)
-        out.ids, out.vectors, out.norms, out.pivots = at, x[at], (x[at] ** 2).sum(1), far[at]
+        out.ids, out.vectors, out.norms, out.pivots, out.wide = at, x[at], (x[at] ** 2).sum(1), far[at], False
         return out
 
     q, c = block(np.arange(0, 2400, 100)), block(np.arange(2400))
@@ -64,3 +64,30 @@ def test_candidates_are_skipped():
     for i, me in enumerate(q.ids):
         want = sorted((-(x[me] @ x[j]), j) for j in range(2400) if j != me)[:5]
         assert [(-s, j) for s, j in zip(scores[i], ids[i])] == want
+
+
+def test_repeated_query_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(100)]
+    twice = [*rows, rows[0], rows[20], (40, [0.25] * 4), (7, [1.0] * 4)]
+    got = run(spark, twice)
+    kept = sorted(twice, key=lambda r: (r[0], [int(np.floor(64 * np.float32(x))) for x in r[1]]))
+    seen, queries = set(), {}
+    for i, v in kept:
+        if i % 20 == 0 and i not in seen:
+            seen.add(i)
+            queries[i] = np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)
+    for q, x in queries.items():
+        want = sorted((-int(x @ np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)), i) for i, v in twice if i != q)[:20]
+        assert got[q] == want
+
+
+def test_large_components(spark):
+    rows = [(i, [float(i * 20_000.0), 1.0, -3.5]) for i in range(60)] + [(1000, [3e38, 1.0, 1.0]), (1001, [1e10, -1e10, 0.0])]
+    got = run(spark, rows)
+    exact = {i: [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(64 * float(np.float32(x)))))) for x in v] for i, v in rows}
+    cut = lambda x: max(1 - (1 << 63), min((1 << 63) - 1, x))
+    for q in exact:
+        if q % 20 == 0:
+            want = sorted((-cut(sum(a * b for a, b in zip(exact[q], exact[j]))), j) for j in exact if j != q)[:20]
+            assert got[q] == want
