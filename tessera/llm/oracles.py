@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import BITS, BUDGET_PERCENT, MAX_REPEAT, ROUNDS, WEIGHTS
 from .quality import MAX_REPEATED_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS
 
 _PROBE = "</s>[INST] ok [/INST]"
@@ -21,7 +22,8 @@ FROM s GROUP BY conv_id"""
 
 _TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
@@ -59,6 +61,20 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, list_reduce(list_transform(r
 CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d"""
 
 
+def _mix() -> str:
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
+    return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {BITS * ROUNDS // 4}))::BIGINT AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{weights}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)] AS weight FROM d GROUP BY source),
+c AS (SELECT *, {float(MAX_REPEAT)}::DOUBLE * source_size AS cap, {float(MAX_REPEAT)}::DOUBLE * source_size / weight AS cap_level, CAST(sum(source_size) OVER () AS DOUBLE) * {BUDGET_PERCENT} / 100.0::DOUBLE AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level_here FROM c WINDOW w AS (ORDER BY cap_level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level_here, cap_level) FILTER (level_here < cap_level) AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l, v),
+e AS (SELECT *, floor(target / greatest(source_size, 1)) AS epochs FROM t),
+r AS (SELECT d.doc_id, d.size, d.h, e.*, target - epochs * source_size AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+b AS (SELECT *, max(CASE WHEN size > 0 AND before <= rest THEN h END) OVER (PARTITION BY source) AS last_h FROM r)
+SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN h < last_h OR (h = last_h AND 2 * (rest - before) >= size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": _chat(),
@@ -66,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": _quality(),
         "op8_prefix_sum_shards": _SHARDS,
         "op9_chunked_warc": _WARC,
+        "op10_weighted_mix": _mix(),
     }

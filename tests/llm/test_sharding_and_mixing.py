@@ -75,10 +75,10 @@ def test_mix_reaches_targets_and_repeats(spark, rng, monkeypatch):
         sizes[s] += n
     for r in out:
         taken[r.source] += r.copies * r.size
-        assert 0 <= r.copies <= 2 and r.source_size == sizes[r.source]
+        assert r.target == "clash" and 0 <= r.copies <= 2 and r.source_size == sizes[r.source]
     want = brute_targets(sizes)
     for s in sizes:
-        assert abs(want[s] - next(r.target for r in out if r.source == s)) < 1e-6
+        assert abs(want[s] - next(r._target for r in out if r.source == s)) < 1e-6
         assert abs(taken[s] - want[s]) <= 60
     monkeypatch.setattr(M, "MAX_BROADCAST_SOURCES", 0)  # the way beyond the bound gives the same mix
     rng.setstate(state)
@@ -91,3 +91,32 @@ def test_mix_of_odd_tables(spark, tmp_path):
     assert M.op10_weighted_mix(spark, f"{tmp_path}/a").count() == 0
     documents(spark, [None, "", " "]).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert all((r.size, r.taken, r.target) == (0, 0, 0.0) for r in M.op10_weighted_mix(spark, f"{tmp_path}/b").collect())
+
+
+def test_rows_without_or_with_one_id_are_split(spark):
+    for key in (None, 7):
+        df = spark.createDataFrame([(key, "s", 20)] * 300 + [(i, "t", 20) for i in range(200)], "doc_id long, source string, size long")
+        out = [r for r in M.mix(df, "source", "size", ["doc_id"]).collect() if r.source == "s"]
+        assert abs(sum(r.copies * r.size for r in out) - out[0].target) <= 10
+
+
+def test_no_row_exceeds_the_cap(spark):
+    rows = [(i, "a", 10) for i in range(50)] + [(1000 + i, "b", 0 if i % 2 else 1) for i in range(2000)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), "source", "size", ["doc_id"], weights=(1, 1000)).collect()
+    assert max(r.copies for r in out) <= 2
+
+
+CLASHES = ["src", "epochs", "threshold", "source_size", "target", "copies", "hash", "tie", "row", "row_key", "prefix", "rest", "shard", "slot", "pid", "salt", "start", "first", "before", "rank", "total", "bytes", "rows", "key_0"]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], 5 + i % 3) for i in range(60)], "doc_id long, source string, size long")
+    plain = {r.doc_id: r.copies for r in M.mix(df, "source", "size", ["doc_id"]).collect()}
+    wide = df.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in CLASHES])
+    mixed = M.mix(wide, "source", "size", ["doc_id"])
+    assert mixed.columns == [*wide.columns, *M.added_names(wide)]
+    placed = S.assign_shards(wide, "size", ["doc_id"], 4)
+    assert placed.columns == [*wide.columns, "_shard", "_slot"]
+    for out in (mixed, placed):
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in CLASHES)
+    assert {r.doc_id: r._copies for r in mixed.collect()} == plain
