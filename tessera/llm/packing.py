@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import table, unused, with_row_key
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -166,23 +166,27 @@ def cut_into_pieces(df: DataFrame, doc: str, text: str, tokenizer: str, max_toke
     return df.select(F.col(f"`{doc}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, T.StructType(fields))
 
 
-def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity: int = MAX_TOKENS, most_open: int = OPEN_BINS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``; ``order``: columns that identify a row."""
-    pieces = written(pieces, "pieces")
+def pack(pieces: DataFrame, length: str = "length", capacity: int = MAX_TOKENS, most_open: int = OPEN_BINS) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
+
+    Rows are dealt by a row key, so ids that repeat or are null spread like any others.
+    """
+    names = pieces.columns
+    (key,) = unused(pieces, "row_key")
+    pieces = with_row_key(pieces, key, "pieces")
     n_tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    at = pieces.columns.index(length)
+    schema = T.StructType([*[pieces.schema[n] for n in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    at = names.index(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, first = BoundedBestFit(capacity, most_open), TaskContext.get().partitionId() << 32
         for batch in batches:
             placed = [packer.place(n) for n in batch.column(at).to_pylist()]
             numbers = pa.array([first + n for n, _ in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers, pa.array([o for _, o in placed], pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], numbers, pa.array([o for _, o in placed], pa.int64())], schema.names)
 
-    keys = [F.col(f"`{c}`") for c in order]
-    dealt = pieces.repartition(n_tasks, *keys)
-    return dealt.sortWithinPartitions(F.xxhash64(*keys), *keys).mapInArrow(run, schema)
+    dealt = pieces.repartition(n_tasks, key)
+    return dealt.sortWithinPartitions(F.xxhash64(key), key).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = True) -> DataFrame:
@@ -192,7 +196,7 @@ def pack_documents(df: DataFrame, doc: str = "doc_id", text: str = "text", token
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     pieces = cut_into_pieces(df, doc, text, tokenizer, max_tokens, with_ids)
-    return pack(pieces, [doc, "piece", "start"], "length", max_tokens)
+    return pack(pieces, "length", max_tokens)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
