@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_duplicates import EDITS, MIN_CHARS
 from .mixing import BITS, BUDGET_PERCENT, MAX_REPEAT, ROUNDS, WEIGHTS
 from .quality import MAX_REPEATED_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS
 
@@ -75,11 +76,32 @@ b AS (SELECT *, max(CASE WHEN size > 0 AND before <= rest THEN h END) OVER (PART
 SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN h < last_h OR (h = last_h AND 2 * (rest - before) >= size) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM b"""
 
 
+def _lines() -> str:
+    if EDITS != 1:
+        raise ValueError("this SQL is for one edit")
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+o AS (SELECT row_no, doc_id, CAST(place - 1 AS INT) AS line_no, line FROM (SELECT row_no, doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS place FROM d) WHERE regexp_matches(line, '[^ \\t-\\r]')),
+n AS (SELECT line, row_number() OVER (ORDER BY line) AS node, length(line) AS n FROM (SELECT DISTINCT line FROM o)),
+f AS (SELECT * FROM n WHERE n >= {MIN_CHARS}),
+x AS (SELECT node, line, n, n - less AS m FROM f, (SELECT unnest([0, 1]) AS less)),
+p AS (SELECT DISTINCT x.node AS a, y.node AS b, x.line AS u, y.line AS v FROM x JOIN f y ON x.m = y.n AND left(x.line, y.n // 2) = left(y.line, y.n // 2) WHERE x.node <> y.node
+UNION SELECT DISTINCT x.node, y.node, x.line, y.line FROM x JOIN f y ON x.m = y.n AND right(x.line, y.n - y.n // 2) = right(y.line, y.n - y.n // 2) WHERE x.node <> y.node),
+q AS (SELECT *, coalesce(list_position(list_transform(range(1, length(v) + 1), lambda i: u[i] = v[i]), false), length(v) + 1) AS place FROM p),
+l AS (SELECT a, b FROM q WHERE substr(u, place + 1) = CASE WHEN length(u) = length(v) THEN substr(v, place + 1) ELSE substr(v, place) END),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a),
+r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+g AS (SELECT node, min(other) AS class FROM (SELECT * FROM r UNION SELECT node, node FROM n) GROUP BY node),
+w AS (SELECT o.row_no, o.doc_id, o.line_no, g.class, coalesce(k.n_links, 0) AS n_links FROM o JOIN n USING (line) JOIN g USING (node) LEFT JOIN k ON k.a = n.node)
+SELECT doc_id, line_no, first_value(doc_id) OVER c AS class_doc, first_value(line_no) OVER c AS class_line, CAST(n_links AS BIGINT) AS n_links, row_number() OVER c > 1 AS duplicate FROM w WINDOW c AS (PARTITION BY class ORDER BY doc_id, row_no, line_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": _chat(),
         "op5_pivot_top_k": _TOP_K,
         "op6_quality_rules": _quality(),
+        "op7_segment_edit_join": _lines(),
         "op8_prefix_sum_shards": _SHARDS,
         "op9_chunked_warc": _WARC,
         "op10_weighted_mix": _mix(),
