@@ -36,7 +36,6 @@ from .common import table, written
 
 THRESHOLD = 0.7
 MAX_TRAINING_ROWS = 40_000
-MAX_FEATURES = 50_000
 #: Log odds that a feature needs besides its significance.
 MIN_ODDS = 2.5
 PREFIXES = (4, 5)
@@ -288,7 +287,7 @@ def _x_log(x: F.Column, y: F.Column) -> F.Column:
 
 
 def learn_features(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[str, float]:
-    """Log odds of the features that are significant; at most ``MAX_FEATURES``, the most significant."""
+    """Log odds of all features that are significant; they come from the sample of training rows alone, which bounds their number."""
     by = written(counts.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).where("t > 0"), "features")
     n_features = max(by.count(), 1)
     rate = n_toxic / (n_toxic + n_clean)
@@ -296,7 +295,7 @@ def learn_features(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[str, f
     g = 2 * (_x_log(t, n * rate) + _x_log(c, n * (1 - rate)))
     odds = F.log((t + 0.5) / (n_toxic + 1.0)) - F.log((c + 0.5) / (n_clean + 1.0))
     kept = by.select("feature", odds.alias("odds"), g.alias("g")).where((F.col("odds") > MIN_ODDS) & (F.col("g") > 2 * math.log(n_features) + 6))
-    return {r[0]: r[1] for r in kept.orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()}
+    return {r[0]: r[1] for r in kept.collect()}
 
 
 def _evidence(found: set[str], odds: dict[str, float]) -> tuple[float, float]:

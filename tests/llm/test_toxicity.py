@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import pytest
 from conftest import documents
 
@@ -51,6 +54,37 @@ def test_combined_obfuscations_are_restored(model):
         assert word in X.WORD.findall(restore(f"moler, {hidden}, tath")), hidden
 
 
+def test_decoding_equals_all_paths(model, rng):
+    """Of all paths through a span's lattice, Viterbi finds the likeliest."""
+    trigrams = model[1]["trigrams"]
+
+    def path_score(chosen):
+        a = b = 0
+        total = 0.0
+        for text, cost in chosen:
+            total += cost
+            for c in "" if text == " " and b == 0 else text:
+                z = 0 if c == " " else X._symbol(c)
+                total += float(trigrams[a, b, z])
+                a, b = b, z
+        return total
+
+    for _ in range(300):
+        spelled = rng.random() < 0.5
+        span = "".join(rng.choice("gru3mb1le@0 .") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randrange(1, 7)))
+        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", span)]
+        paths = list(itertools.product(*[X._options(c, n, spelled) for c, n in [*runs, ("\n", 1)]]))
+        best = max(map(path_score, paths))
+        texts = set()
+        for p in paths:
+            if path_score(p) >= best - 1e-5:
+                text = ""
+                for t, _ in p:
+                    text += "" if t == " " and (not text or text.endswith(" ")) else t
+                texts.add(text)
+        assert X.restore(span, trigrams, spelled) in texts
+
+
 def test_long_tokens_are_restored(model):
     restore = X.Restorer(model[1]["trigrams"])
     for token in ("grumb" + "l" * 70 + "er", ",".join(["grumbl3r"] * 20), "_".join(["grumbl3r"] * 20), "\u00a0".join(["grumbl3r"] * 20), "/".join(["moler"] * 20 + ["grumbl3r"])):
