@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table, written
+from .common import Scratch, components, table, unused, with_row_key, written
 
 K_WORDS = 5
 SIMILARITY = 0.8
@@ -462,5 +462,19 @@ def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text
         return written(out, "near-classes")
 
 
+def without_near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``df`` with one row of each class: the one with the smallest id (null last), then the first; rows are told apart by a row key."""
+    names = df.columns
+    (row_key,) = unused(df, "row_key")
+    keyed = with_row_key(df, row_key)
+    classes = near_duplicate_classes(keyed, row_key, text, similarity).select(F.col(f"`{row_key}`").alias("key"), "class_id")
+    several = classes.where("key <> class_id").select("class_id").distinct()
+    members = classes.join(several, "class_id").join(keyed.select(F.col(f"`{row_key}`").alias("key"), F.col(f"`{doc}`").alias("doc")), "key")
+    members = written(members, "class-members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key"))["key"].alias("kept"))
+    gone = written(members.join(first, "class_id").where("key <> kept").select(F.col("key").alias(row_key)), "near-copies")
+    return keyed.join(gone, row_key, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+
+
 def op3_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
