@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept.  All but the last return the columns of ``documents``;
 ``n_chars`` follows the text where a stage changes it.
+
+Defined results for odd input: null texts count as empty ones (no toxic word, no line, no near-copy, size 0, one
+sequence piece); rows with equal or null ids are rows of their own (stages tell rows apart by a row key, not by
+``doc_id``), and of equal rows one stays; other columns of ``docs``, whatever their names, pass through all stages but the
+last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,17 +33,16 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
-    classes = near_duplicates.near_duplicate_classes(docs)
-    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    size, copies = unused(docs, "mix_size", "n_copies")
+    (size,) = unused(docs, "mix_size")
     sized = docs.withColumn(size, n_words(F.col("text")))
-    mixed = mixing.mix(sized, "source", size, ["doc_id"]).withColumnRenamed("copies", copies)
-    return mixed.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*docs.columns)
+    copies = mixing.added_names(sized)[2]
+    mixed = mixing.mix(sized, "source", size, ["doc_id"])
+    return mixed.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
