@@ -12,7 +12,7 @@ Every pair of candidates is connected or was found dissimilar, in two passes:
 1. Every node of a bucket is aligned with the bucket's smallest node (its hub); components follow.
 2. In buckets whose nodes are not connected by then, the nodes outside the bucket's largest component meet each
    other, and they meet that component (its nodes are sent once for all buckets).  Both are cut into cells of two blocks
-   of about ``BLOCK_NODES`` nodes.  Lengths and bags of words (128 counters: an edit changes
+   of about as many nodes.  Lengths and bags of words (128 counters: an edit changes
    at most two by one) rule out nearly all pairs; what is left is aligned in the cell's task, likeliest first,
    and pairs that became connected meanwhile are left out.  A pair that shares several buckets is aligned
    in one of them.  Tasks return links only, fewer than a cell has components: no list of pairs exists.
@@ -44,8 +44,8 @@ SEED = 20_240_517
 SKETCHES_AT_ONCE = 32
 #: Counters of the bag of words that rules pairs out before words are fetched.
 BAG = 128
-#: Nodes of one block of a bucket: a task compares two blocks at most at a time.
-BLOCK_NODES = 256
+#: Nodes of one block: a task looks at two blocks at a time, first at their bags of words, then (of those that are left) at their words.
+BAG_BLOCK, WORD_BLOCK = 1024, 192
 #: Edges of one hub that a task takes before its words are sent to another one too.
 EDGES_PER_HUB = 512
 
@@ -294,13 +294,13 @@ def _open_groups(s: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame
     return s.written(first.union(second.join(sized, "main").select(*columns)), "open-groups")
 
 
-def _cells(groups: DataFrame) -> DataFrame:
+def _cells(groups: DataFrame, block_nodes: int) -> DataFrame:
     """Adds ``i, k, block``: the cells a node goes to and its own block.
 
-    Blocks 0 to ``others / BLOCK_NODES`` hold the others, the rest the component of a group of kind 1.  Cells are all
+    Blocks 0 to ``others / block_nodes`` hold the others, the rest the component of a group of kind 1.  Cells are all
     pairs of blocks to be compared; a small group of kind 1 is one cell of two blocks.
     """
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK_NODES).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / block_nodes).cast("int")
     out = groups.withColumn("no", blocks("others")).withColumn("nb", blocks("most"))
     hashed = F.xxhash64("node")
     out = out.withColumn("block", F.when(F.col("own"), F.pmod(hashed, "no")).otherwise(F.col("no") + F.pmod(hashed, F.greatest("nb", F.lit(1)))).cast("int"))
@@ -414,25 +414,31 @@ def _cell_links(s: Scratch, groups: DataFrame, details: DataFrame, similarity: f
         return cells.repartition(*cell_keys).sortWithinPartitions(*cell_keys)
 
     slim = details.select("node", "n_words", "bag").hint("merge")
-    first = _cells(groups).join(slim, "node").select(*cell_keys, "block", "node", "label", "n_words", "bag")
+    first = _cells(groups, BAG_BLOCK).join(slim, "node").select(*cell_keys, "block", "node", "label", "n_words", "bag")
     # A node that is possible in several cells of a group is listed once for the group.
     possible = s.written(dealt(first).mapInArrow(find, "kind int, key long, node long").distinct(), "possible")
     s.drop()
-    again = s.written(groups.join(possible, ["kind", "key", "node"]), "possible-members")
+    again = s.written(groups.drop("others", "most").join(possible, ["kind", "key", "node"]), "possible-members")
+    sizes = again.groupBy("kind", "key").agg(F.count_if("own").alias("others"), F.count_if(~F.col("own")).alias("most"))
+    again = again.join(sizes, ["kind", "key"])
     keys = possible.where("kind = 0").groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a sketch
     wanted = possible.select("node").distinct().join(keys, "node", "left")
     full = s.written(details.join(wanted, "node").withColumn("keys", F.coalesce("keys", F.expr("CAST(array() AS array<bigint>)"))), "possible-details")
-    second = _cells(again).join(full.hint("merge"), "node").select(*cell_keys, "block", "node", "label", "n_words", "bag", "words", "keys")
+    second = _cells(again, WORD_BLOCK).join(full.hint("merge"), "node").select(*cell_keys, "block", "node", "label", "n_words", "bag", "words", "keys")
     return s.written(dealt(second).mapInArrow(align, "a long, b long"), "cell-links")
 
 
-def near_duplicate_links(s: Scratch, nodes: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """Links (a, b) between nodes (node, n_words, words, bag, sketch): each pair that shares a sketch is connected by them or dissimilar."""
+def near_duplicate_links(s: Scratch, nodes: DataFrame, full: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """Links (a, b) between nodes (node, sketch): each pair that shares a sketch is connected by them or dissimilar.
+
+    ``full`` has ``node, n_words, words, bag`` of all nodes.
+    """
     members = _buckets(s, nodes, sketches)
     edges = s.written(members.where("node <> hub").select("node", "hub").distinct(), "hub-edges")
     involved = edges.select("node").union(edges.select(F.col("hub").alias("node"))).distinct()
-    details = s.written(nodes.select("node", "n_words", "words", "bag").join(involved.hint("merge"), "node"), "details")
     s.drop(nodes)
+    details = s.written(full.join(involved.hint("merge"), "node"), "details")
+    s.drop()
     links = _hub_links(s, edges, details, similarity)
     s.drop(edges)
     open_groups = _open_groups(s, members.select("key", "node"), components(links))
@@ -450,9 +456,11 @@ def near_duplicate_classes(df: DataFrame, doc: str = "doc_id", text: str = "text
         # One row a text: the first; ``rep`` is the smallest id of its copies.
         groups = s.written(wordy.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("rep")), "texts")
         first = groups.select(F.col("node").alias("row_id")).hint("merge")
-        nodes = s.written(sketched.join(first, "row_id").select(F.col("row_id").alias("node"), "n_words", "words", "bag", "sketch"), "nodes")
+        nodes = s.written(sketched.select("row_id", "sketch").join(first, "row_id").select(F.col("row_id").alias("node"), "sketch"), "nodes")
+        s.drop()
+        full = sketched.select(F.col("row_id").alias("node"), "n_words", "words", "bag")
+        links = s.written(near_duplicate_links(s, nodes, full, similarity, sketches), "near-links")
         s.drop(sketched)
-        links = s.written(near_duplicate_links(s, nodes, similarity, sketches), "near-links")
         labels = components(links)
         names = labels.join(groups.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
         linked = labels.join(names, "label").select("node", "class_id")
