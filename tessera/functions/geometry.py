@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,15 +67,15 @@ def frame_geometry(width: Column, height: Column, to_width: int, to_height: int,
     return {"scaled_w": w, "scaled_h": h, "off_x": gravity_offset(F.lit(to_width), w, gx), "off_y": gravity_offset(F.lit(to_height), h, gy)}
 
 
-def resolve_margin(value: str | None, width: int, height: int) -> int:
-    """``None``, pixels, or whole percent of the shorter side; raises where it leaves no room."""
+def resolve_margin(value: str | int | None, width: int, height: int) -> int:
+    """``None``, whole pixels, or percent of the shorter side (half to even); raises where it leaves no room."""
     if value is None:
         return 0
-    digits = value[:-1] if value.endswith("%") else value
-    if not digits.isascii() or not digits.isdigit():
+    found = re.fullmatch(r"(\d+)|(\d+(?:\.\d*)?|\.\d+)%", str(value).strip(), re.ASCII)
+    if not found:
         raise ValueError(f"not a margin: {value!r}")
     shorter = min(width, height)
-    margin = round(shorter * int(digits) / 100) if value.endswith("%") else int(digits)
+    margin = int(found[1]) if found[1] else round(float(found[2]) / 100 * shorter)
     if 2 * margin >= shorter:
         raise ValueError(f"margin {value!r} leaves no room in {width} x {height}")
     return margin

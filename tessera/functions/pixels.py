@@ -63,14 +63,18 @@ def phash_of(a: np.ndarray) -> str:
 
 
 def content_box(a: np.ndarray, tolerance: int = 8) -> tuple[int, int, int, int] | None:
-    """Box of what differs from the background: by alpha if there is one, else from the median of the corners."""
-    if a.shape[2] == 4:
-        seen = a[:, :, 3] > tolerance
+    """Box of what is seen: alpha above the tolerance, or, without alpha, farther than that from the corners' median (cut to whole numbers)."""
+    h, w, channels = a.shape
+    if channels == 4:
+        off = a[:, :, 3]
     else:
-        corners = np.median(np.stack([a[0, 0], a[0, -1], a[-1, 0], a[-1, -1]]).astype(float), axis=0)
-        seen = np.abs(a.astype(float) - corners).max(2) > tolerance
-    rows, columns = np.flatnonzero(seen.any(1)), np.flatnonzero(seen.any(0))
-    return (int(columns[0]), int(rows[0]), int(columns[-1]) + 1, int(rows[-1]) + 1) if len(rows) else None
+        corners = a[:: max(h - 1, 1), :: max(w - 1, 1)].reshape(-1, channels)
+        off = np.abs(a.astype(int) - np.median(corners, axis=0).astype(int)).max(axis=2)
+    places = np.argwhere(off > tolerance)
+    if not len(places):
+        return None
+    (top, left), (bottom, right) = places.min(axis=0), places.max(axis=0)
+    return int(left), int(top), int(right) + 1, int(bottom) + 1
 
 
 def flipped(a: np.ndarray, axes: str) -> np.ndarray:

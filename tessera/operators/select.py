@@ -69,6 +69,11 @@ def not_at_destination(kept: DataFrame, existing: DataFrame) -> DataFrame:
     return kept.join(first.join(existing.select("name"), "name", "left_anti").select("path"), "path", "left_semi")
 
 
+def restorable(duplicates: DataFrame, origin: DataFrame) -> DataFrame:
+    """Items of a duplicates folder that can go back: names that the origin does not have."""
+    return duplicates.join(origin.select("name"), "name", "left_anti")
+
+
 def pending_metrics(media: DataFrame, wanted: list[str], force: bool = False) -> DataFrame:
     """Items with the metrics that are still to be computed (none of them done yet if forced)."""
     have = F.array().cast("array<string>") if force else F.coalesce(F.map_keys("metrics"), F.array().cast("array<string>"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import catalog
 from ..functions import geometry, urls
 from ..operators import dedup, detections, hits, report, select
+from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,9 +147,14 @@ for _name, _kinds in (("sc1_scan_images", catalog.IMAGE_SUFFIXES), ("sc2_scan_vi
     query(_name, f"WITH {_LISTED} SELECT path FROM listing WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ({_in})")(
         lambda spark, d, kinds=_kinds: _listing(spark, d).where(urls.suffix(F.col("path")).isin(kinds))
     )
-query("sc6_jn1_sidecar_lookup", "SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS has_sidecar FROM documents d LEFT JOIN labels l USING (doc_id)")(
-    lambda spark, d: catalog.read(spark, d, "documents").select("doc_id").join(catalog.read(spark, d, "labels").withColumn("s", F.lit(True)), "doc_id", "left").select("doc_id", "quality", "toxic", F.coalesce("s", F.lit(False)).alias("has_sidecar"))
-)
+def _labels_as_sidecars(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("file:/m/"), F.col("doc_id").cast("string"))
+    return files.with_sidecars(
+        catalog.read(spark, d, "documents").select("doc_id", path.alias("path")), catalog.read(spark, d, "labels").select(path.alias("path"), "quality", "toxic", F.lit(True).alias("s"))
+    ).select("doc_id", "quality", "toxic", F.coalesce("s", F.lit(False)).alias("has_sidecar"))
+
+
+query("sc6_jn1_sidecar_lookup", "SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS has_sidecar FROM documents d LEFT JOIN labels l USING (doc_id)")(_labels_as_sidecars)
 
 
 def _json_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -157,13 +163,13 @@ def _json_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("sc8_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")(
-    lambda spark, d: _json_lines(spark, d).where("trim(line) <> ''").withColumn("r", F.from_json("line", "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).where("r._corrupt_record IS NULL").select("event_id", "r.k")
+    lambda spark, d: files.json_lines(_json_lines(spark, d), "k long")
 )
 query(
     "sc9_url_list",
     """SELECT page_id, trim(url) AS url, coalesce(nullif(split_part(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', ''), '.', 1), ''), 'unknown') AS source FROM pages WHERE page_id % 5 <> 0 AND trim(url) <> ''""",
 )(
-    lambda spark, d: catalog.read(spark, d, "pages").select("page_id", F.trim(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), F.col("url"))).otherwise(F.col("url"))).alias("url")).where("url <> '' AND NOT startswith(url, '#')").withColumn("source", urls.source_of(F.col("url")))
+    lambda spark, d: files.url_lines(catalog.read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), F.col("url"))).otherwise(F.col("url")).alias("line"))).select("page_id", "url", "source")
 )
 query("sk2_merge_metrics", f"WITH {MEDIA} SELECT path, CASE WHEN doc_id % 2 = 0 THEN 1.5 ELSE blur END AS blur, CAST(2.0 AS DOUBLE) AS niqe FROM media")(
     lambda spark, d: catalog.media(spark, d).withColumn("m", select.merge_metrics(F.col("metrics"), F.map_filter(F.create_map(F.lit("blur"), F.when(F.col("doc_id") % 2 == 0, F.lit(1.5)), F.lit("niqe"), F.lit(2.0)), lambda k, v: v.isNotNull()))).select("path", F.try_element_at("m", F.lit("blur")).alias("blur"), F.try_element_at("m", F.lit("niqe")).alias("niqe"))
@@ -174,13 +180,19 @@ query("sk3_propagate_columns", f"WITH {MEDIA} SELECT path, source, false AS has_
 query("sk6_cluster_manifest", "SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS rank FROM embeddings WHERE label >= 0 GROUP BY label")(
     lambda spark, d: report.cluster_ranks(catalog.read(spark, d, "embeddings")).where("label >= 0").select("label", F.col("n").alias("size"), F.col("rank").cast("long").alias("rank"))
 )
-query("sk8_skip_existing", f"WITH {MEDIA}, short AS (SELECT path, 'doc_' || (doc_id % 300) || '.jpg' AS name FROM media), f AS (SELECT name, min(path) AS path FROM short GROUP BY name) SELECT path, name FROM f WHERE name NOT IN (SELECT name FROM media WHERE doc_id % 3 = 0 AND doc_id < 300)")(
-    lambda spark, d: select.not_at_destination(
-        catalog.media(spark, d).withColumn("name", F.concat(F.lit("doc_"), (F.col("doc_id") % 300).cast("string"), F.lit(".jpg"))), catalog.media(spark, d).where("doc_id % 3 = 0 AND doc_id < 300")
-    ).select("path", "name")
+_BY_SIZE = "short AS (SELECT path, bucket, 'size_' || file_size || '.jpg' AS name FROM media)"
+
+
+def _by_size(spark: SparkSession, d: str) -> DataFrame:
+    """All media under names that collide: their sizes."""
+    return catalog.media(spark, d).withColumn("name", F.concat(F.lit("size_"), F.col("file_size").cast("string"), F.lit(".jpg")))
+
+
+query("sk8_skip_existing", f"WITH {MEDIA}, {_BY_SIZE}, f AS (SELECT name, min(path) AS path FROM short GROUP BY name) SELECT path, name FROM f WHERE name NOT IN (SELECT name FROM short WHERE bucket = 'b0')")(
+    lambda spark, d: select.not_at_destination(_by_size(spark, d), _by_size(spark, d).where("bucket = 'b0'")).select("path", "name")
 )
-query("sk9_undo_dedup", f"WITH {MEDIA} SELECT name FROM media WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0")(
-    lambda spark, d: catalog.media(spark, d).where("doc_id % 6 = 0").join(catalog.media(spark, d).where("doc_id % 4 = 0").select("name"), "name", "left_anti").select("name")
+query("sk9_undo_dedup", f"WITH {MEDIA}, {_BY_SIZE} SELECT path, name FROM short WHERE bucket = 'b2' AND name NOT IN (SELECT name FROM short WHERE bucket = 'b0')")(
+    lambda spark, d: select.restorable(_by_size(spark, d).where("bucket = 'b2'"), _by_size(spark, d).where("bucket = 'b0'")).select("path", "name")
 )
 
 # Search hits

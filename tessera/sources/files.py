@@ -82,18 +82,29 @@ def with_sidecars(media: DataFrame, sidecar: DataFrame) -> DataFrame:
     return media.withColumn("_key", _same_path(F.col("path"))).join(side, "_key", "left").drop("_key")
 
 
+def json_lines(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
+    """The fields of one JSON object a row in place of ``line``; blank and malformed lines are left out."""
+    others = [c for c in lines.columns if c != line]
+    bad = "_bad_line"
+    parsed = lines.where(F.trim(line) != "").withColumn("_r", F.from_json(line, f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    return parsed.where(F.col("_r").isNotNull() & F.col(f"_r.{bad}").isNull()).select(*others, "_r.*").drop(bad)
+
+
+def url_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``url, source, license`` in place of ``line``; comments and blank lines are left out."""
+    others = [c for c in lines.columns if c != line]
+    urls = lines.select(*others, F.trim(line).alias("url")).where((F.col("url") != "") & ~F.startswith("url", F.lit("#")))
+    return urls.withColumns({"source": source_of(F.col("url")), "license": F.lit("none")})
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Search hits of a JSON-lines file; blank and malformed lines are left out."""
-    schema = ", ".join(f"{f} string" for f in HIT_FIELDS)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    return parsed.where("r._bad IS NULL AND r IS NOT NULL").select("r.*").drop("_bad")
+    """Search hits of a JSON-lines file."""
+    return json_lines(spark.read.text(path).withColumnRenamed("value", "line"), ", ".join(f"{f} string" for f in HIT_FIELDS))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """(url, source, license) of a list with one address a line; comments and blank lines are left out."""
-    lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' AND NOT startswith(url, '#')")
-    return lines.withColumns({"source": source_of(F.col("url")), "license": F.lit("none")})
+    """(url, source, license) of a list with one address a line."""
+    return url_lines(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def png_size(content: Column) -> tuple[Column, Column]:
