@@ -45,7 +45,7 @@ SKETCHES_AT_ONCE = 32
 #: Counters of the bag of words that rules pairs out before words are fetched.
 BAG = 128
 #: Nodes of one block: a task looks at two blocks at a time, first at their bags of words, then (of those that are left) at their words.
-BAG_BLOCK, WORD_BLOCK = 1024, 192
+BAG_BLOCK, WORD_BLOCK = 4096, 256
 #: Edges of one hub that a task takes before its words are sent to another one too.
 EDGES_PER_HUB = 512
 
