@@ -2,8 +2,9 @@
 
 Payloads become rows (record, chunk number, bytes) of bounded size; each row carries the digest of the
 payload up to its end, so the last row of a record has the payload's digest and a reader can check every
-prefix.  Chunks are slices of the Arrow buffer of the text; no worker holds a second copy of a whole record,
-and the archive writer and reader hold one chunk at a time.
+prefix.  Chunks are slices of the Arrow buffer of the text; no worker holds a second copy of a whole record.
+The archive writer holds one Arrow batch of chunks (64 MB unless Spark is set otherwise) and a copy of one chunk,
+the reader one buffer.
 
 Records with equal payloads of at least ``min_bytes``: the one with the largest id is a response, the others
 are revisits of it.  Archives are gzip members, one a record, in files named by task attempt; the manifest,
@@ -94,6 +95,13 @@ def verdicts(chunks: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
+def store_of(uri: str):
+    """The store and path of an address; Spark's names for S3 are known here too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record_uri(page: int | None, record: int) -> str:
     return f"<urn:page:{'null' if page is None else page}:{record}>"
 
@@ -133,15 +141,14 @@ def write_archives(chunks: DataFrame, verdict: DataFrame, folder: str, archive_b
     dealt = lead.unionByName(body).repartition(int(n), "record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         name = f"{base}/{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         out = member = verdict_row = None
         n_records = n_bytes = 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns)}
                 if row["chunk_no"] < 0:
                     verdict_row = row
                     continue
@@ -227,11 +234,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         return None if page == "null" else int(page), int(record)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(path)
+                store, name = store_of(path)
                 rows = []
                 with store.open_input_stream(name, buffer_size=1 << 18) as source:
                     for headers, payload in parse_archive(source):

@@ -3,6 +3,8 @@ import hashlib
 import io
 import zlib
 
+import pytest
+
 from tessera.llm import warc as W
 
 
@@ -56,3 +58,12 @@ def test_parser_reads_members_in_small_blocks():
     pack = lambda b: (lambda c: c.compress(b) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
     got = [(h["WARC-Type"], b"".join(p)) for h, p in W.parse_archive(io.BytesIO(pack(record) * 3))]
     assert got == [("response", body)] * 3
+
+
+def test_addresses_as_spark_names_them(tmp_path):
+    pytest.importorskip("pyarrow.fs")
+    from pyarrow import fs
+
+    assert W.store_of(f"file://{tmp_path}")[1] == str(tmp_path)
+    if hasattr(fs, "S3FileSystem"):
+        assert [W.store_of(f"{x}://bucket/a/b?region=us-east-1")[1] for x in ("s3", "s3a", "s3n")] == ["bucket/a/b"] * 3
