@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 
 THRESHOLD = 8
+#: Slices of a hash for up to so many hashes, and beyond.
+MANY_HASHES, MORE_SLICES, FEW_SLICES = 1_000_000, 5, 3
 
 
 def halves(phash: str) -> list[Column]:
@@ -19,31 +23,51 @@ def hamming(a: str = "", b: str = "_2") -> Column:
     return F.bit_count(F.col(f"hi{a}").bitwiseXOR(F.col(f"hi{b}"))) + F.bit_count(F.col(f"lo{a}").bitwiseXOR(F.col(f"lo{b}")))
 
 
-def _bands(threshold: int) -> list[Column]:
-    """threshold + 1 slices of the 64 bits; hashes within the threshold share one of them."""
-    parts, out, at = threshold + 1, [], 0
+def _slices(parts: int) -> list[tuple[int, int, Column]]:
+    """(number, width, value) of even slices of the 64 bits."""
+    out, at = [], 0
     for k in range(parts):
         width = 64 // parts + (1 if k < 64 % parts else 0)
-        bits = []
-        for bit in range(at, at + width):
-            half, place = ("hi", 31 - bit) if bit < 32 else ("lo", 63 - bit)
-            bits.append(F.shiftleft(F.shiftright(F.col(half), place).bitwiseAND(1), at + width - 1 - bit))
-        value = bits[0]
-        for b in bits[1:]:
-            value = value + b
-        out.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
+        value = F.lit(0).cast("long")
+        if at < 32:  # bits of the upper half
+            n = min(width, 32 - at)
+            value = F.shiftleft(F.shiftright("hi", 32 - at - n).bitwiseAND((1 << n) - 1), width - n)
+        if at + width > 32:
+            n = min(width, at + width - 32)
+            value = value + F.shiftright("lo", 64 - at - width).bitwiseAND((1 << n) - 1)
+        out.append((k, width, value))
         at += width
     return out
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def _ball(width: int, radius: int) -> list[int]:
+    """All masks of up to ``radius`` bits."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def n_slices(threshold: int, n_hashes: int) -> int:
+    """Fewer, longer slices probe more values each and meet fewer strangers, which pays for many hashes."""
+    return max(1, min(threshold + 1, FEW_SLICES if n_hashes > MANY_HASHES else MORE_SLICES))
+
+
+def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD, slices: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of distinct hashes (id, hi, lo), a < b, within the threshold; equal ones are merged before.
 
-    An equi-join on (band, value) finds every pair; bands are cut to suit the threshold.
+    Of ``slices`` slices one differs in at most ``threshold // slices`` bits, so an equi-join of all slices with all
+    values that close to them finds every pair, whatever the number of slices.
     """
-    banded = hashes.withColumn("band", F.explode(F.array(*_bands(threshold))))
-    other = banded.select(F.col("id").alias("id_2"), F.col("hi").alias("hi_2"), F.col("lo").alias("lo_2"), "band")
-    met = banded.join(other, "band").where((F.col("id") < F.col("id_2")) & (hamming() <= threshold))
+    slices = n_slices(threshold, hashes.count()) if slices is None else slices
+    cut = _slices(slices)
+    held = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, _, v in cut])
+
+    def around(k: int, width: int, value: Column) -> Column:
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, threshold // slices)])
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(m).alias("v")))
+
+    near = [around(*x) for x in cut]
+    probes = hashes.withColumn("slice", F.explode(F.flatten(F.array(*near))))
+    index = hashes.withColumn("slice", F.explode(held)).select(F.col("id").alias("id_2"), F.col("hi").alias("hi_2"), F.col("lo").alias("lo_2"), "slice")
+    met = probes.join(index, "slice").where((F.col("id") < F.col("id_2")) & (hamming() <= threshold))
     return met.select(F.col("id").alias("a"), F.col("id_2").alias("b"), hamming().cast("int").alias("distance")).distinct()
 
 

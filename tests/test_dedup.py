@@ -34,9 +34,11 @@ def test_band_join_equals_brute_force(spark):
             hashes.append(x)
     hashes = sorted(set(hashes))
     df = spark.createDataFrame([(f"{h:016x}",) for h in hashes], "id string").select("id", *dedup.halves("id"))
-    got = {(int(r.a, 16), int(r.b, 16), r.distance) for r in dedup.hamming_pairs(df).collect()}
-    want = {(a, b, (a ^ b).bit_count()) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= 8}
-    assert got == want and want
+    for threshold, slices in ((8, None), (8, 3), (8, 9), (0, None), (5, None)):
+        got = {(int(r.a, 16), int(r.b, 16), r.distance) for r in dedup.hamming_pairs(df, threshold, slices).collect()}
+        want = {(a, b, (a ^ b).bit_count()) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= threshold}
+        assert got == want and (want or not threshold)
+    assert (dedup.n_slices(8, 1000), dedup.n_slices(8, 2_000_000), dedup.n_slices(0, 5)) == (5, 3, 1)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
