@@ -98,8 +98,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_requests(events: DataFrame) -> DataFrame:
+    """Events as requests (domain, t, event_id, ok)."""
+    return events.select(F.col("user_id").alias("domain"), F.col("ts").alias("t"), "event_id", (F.col("event_type") != "error").alias("ok"), "event_type")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("domain"), F.col("ts").alias("t"), "event_id", (F.col("event_type") != "error").alias("ok"), "event_type")
+    return as_requests(read(spark, sf_dir, "events"))
 
 
 def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

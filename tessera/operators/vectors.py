@@ -7,37 +7,69 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from .storage import written
+
+#: Vectors of a block, of which two meet in a task, and of a tile, of which two are multiplied at once.
+BLOCK, TILE = 8192, 1024
 #: Vectors that the clusterer takes to one task; beyond, it raises and asks for a coarser unit.
 MOST_CLUSTERED = 50_000
 
 
-def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """(blk, ids, data): packed blocks of vectors, so a pair of blocks is one row and one matrix product."""
-    n = max(1, -(-vectors.count() // block))
-    keyed = vectors.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return keyed.groupBy("blk").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
+def _blocks(vectors: DataFrame, block: int, n: int) -> DataFrame:
+    """(blk, ids, data): ``n`` blocks of vectors as packed numbers, so that a block is one row of two binaries."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, data = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_list()).astype(np.float64)
+        return pd.DataFrame({"blk": pdf["blk"].iloc[:1].to_numpy(), "ids": [ids.tobytes()], "data": [data.tobytes()]})
+
+    keyed = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("blk"))
+    return keyed.groupBy("blk").applyInPandas(pack, "blk int, ids binary, data binary")
+
+
+def _nearest(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, k: int) -> np.ndarray:
+    """For each row of ``a`` its up to ``k`` smallest distances to rows of ``b`` with other ids, tile by tile."""
+    out, norms = [], (b * b).sum(1)
+    for at in range(0, len(a), TILE):
+        x, ix = a[at : at + TILE], ia[at : at + TILE]
+        near = np.empty((len(x), 0))
+        for to in range(0, len(b), TILE):
+            d = (x * x).sum(1)[:, None] + norms[None, to : to + TILE] - 2 * x @ b[to : to + TILE].T
+            d[ix[:, None] == ib[None, to : to + TILE]] = np.inf
+            near = np.hstack([near, d])
+            if near.shape[1] > k:
+                near = np.partition(near, k - 1, axis=1)[:, :k]
+        out.append(near)
+    return np.sqrt(np.maximum(np.vstack(out), 0))
 
 
 def core_distances(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(vec_id, core): distance to the k-th nearest other vector; exact, block against block, k numbers a block pair."""
-    blocks = _blocks(vectors, block)
-    n = max(1, -(-vectors.count() // block))
-    listed = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    other = blocks.select(F.col("blk").alias("other"), F.col("rows").alias("against"))
-    pairs = listed.join(other, "other")
+    """(vec_id, core): distance to the k-th nearest other vector (null if there are fewer); exact.
+
+    Every two blocks meet once and serve both sides: the blocks moved are half the square of their number,
+    ``block`` vectors each, and a pair of blocks returns ``k`` numbers a vector.  Small tables get smaller blocks, for
+    as many pairs as there are cores.  Ids have to be unique; null vectors take no part.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.where(F.col("embedding").isNotNull())
+    total = vectors.count()
+    n = max(1, -(-total // block))
+    if total > TILE:
+        while n * (n + 1) // 2 < spark.sparkContext.defaultParallelism and n * TILE < 2 * total:
+            n += 1
+    blocks = written(_blocks(vectors, block, n), "vector-blocks")
+    listed = blocks.withColumn("other", F.explode(F.sequence(F.col("blk"), F.lit(n - 1))))
+    pairs = listed.join(blocks.select(F.col("blk").alias("other"), F.col("ids").alias("ids_2"), F.col("data").alias("data_2")), "other").repartition(n * (n + 1) // 2, "blk", "other")
 
     def run(batches):
         for pdf in batches:
-            for rows, against in zip(pdf["rows"], pdf["against"]):
-                a, b = np.stack([np.asarray(r["embedding"], np.float64) for r in rows]), np.stack([np.asarray(r["embedding"], np.float64) for r in against])
-                ia, ib = np.array([r["vec_id"] for r in rows]), np.array([r["vec_id"] for r in against])
-                d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-                d[ia[:, None] == ib[None, :]] = np.inf
-                near = np.sort(d, axis=1)[:, :k]
-                yield pd.DataFrame({"vec_id": np.repeat(ia, near.shape[1]), "d": near.ravel()})
-
-    found = pairs.select("rows", "against").mapInPandas(run, "vec_id long, d double").where("d < double('Infinity')")
+            for blk, other, *packed in zip(pdf["blk"], pdf["other"], pdf["ids"], pdf["data"], pdf["ids_2"], pdf["data_2"]):
+                ia, ib = (np.frombuffer(packed[i], np.int64) for i in (0, 2))
+                a, b = (np.frombuffer(packed[i]).reshape(len(ids), -1) for i, ids in ((1, ia), (3, ib)))
+                for x, ix, y, iy in ((a, ia, b, ib), (b, ib, a, ia))[: 1 if blk == other else 2]:
+                    near = _nearest(x, ix, y, iy, k)
+                    yield pd.DataFrame({"vec_id": np.repeat(ix, near.shape[1]), "d": near.ravel()})
+
+    found = pairs.select("blk", "other", "ids", "data", "ids_2", "data_2").mapInPandas(run, "vec_id long, d double").where("d < double('Infinity')")
     return found.groupBy("vec_id").agg(F.sort_array(F.collect_list("d")).alias("ds")).select("vec_id", F.get("ds", F.lit(k - 1)).alias("core"))
 
 

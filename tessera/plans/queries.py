@@ -222,6 +222,7 @@ query(
     """WITH r AS (SELECT user_id AS domain, ts, event_id, event_type <> 'error' AS ok FROM events), g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY domain ORDER BY ts, event_id) AS run FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY domain, run ORDER BY ts, event_id) AS k FROM g WHERE NOT ok) SELECT domain, min(ts) AS tripped_at FROM k WHERE k >= 3 GROUP BY domain""",
 )(lambda spark, d: hits.tripped(catalog.requests(spark, d), 3))
+query("op_cb_stream", ORACLES["op_cb_circuit_breaker"])(lambda spark, d: _breaker_stream(spark, d))
 query("op_cls_status_accounting", "SELECT count(*) FILTER (event_type = 'click') AS downloaded, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT user_id) FILTER (event_type = 'error') AS limited FROM events")(
     lambda spark, d: catalog.read(spark, d, "events").agg(F.count_if(F.col("event_type") == "click").alias("downloaded"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_distinct(F.when(F.col("event_type") == "error", F.col("user_id"))).alias("limited"))
 )
@@ -368,3 +369,15 @@ def _cluster(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.vectors import hdbscan
 
     return hdbscan(catalog.read(spark, d, "embeddings").select("vec_id", "embedding"), 5, 2)
+
+
+def _breaker_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The breaker over the events as a stream, run until all that is there has been read."""
+    from ..operators.storage import fresh_path
+    from ..streaming.hits import run_available
+    from ..streaming.requests import tripped_stream
+
+    events = spark.readStream.schema(catalog.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    out = fresh_path(spark, "breaker")
+    run_available(tripped_stream(catalog.as_requests(events), 3), out, fresh_path(spark, "breaker-state"))
+    return spark.read.schema("domain long, tripped_at timestamp").parquet(out)

@@ -32,4 +32,5 @@ def tripped_stream(requests: DataFrame, limit: int = BREAKER) -> DataFrame:
                 return
         state.update((failures, False))
 
-    return requests.groupBy("domain").applyInPandasWithState(step, "domain string, tripped_at timestamp", "failures int, tripped boolean", "append", GroupStateTimeout.NoTimeout)
+    kind = requests.schema["domain"].dataType.simpleString()
+    return requests.groupBy("domain").applyInPandasWithState(step, f"domain {kind}, tripped_at timestamp", "failures int, tripped boolean", "append", GroupStateTimeout.NoTimeout)
