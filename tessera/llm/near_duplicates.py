@@ -12,7 +12,7 @@ Every pair of candidates is connected or was found dissimilar, in two passes:
 1. Every node of a bucket is aligned with the bucket's smallest node (its hub); components follow.
 2. In buckets whose nodes are not connected by then, the nodes outside the bucket's largest component meet each
    other, and they meet that component (its nodes are sent once for all buckets).  Both are cut into cells of two blocks
-   of about as many nodes.  Lengths and bags of words (128 counters: an edit changes
+   of about as many nodes.  Buckets that have much the same nodes (those of a passage that many texts share) are one.  Lengths and bags of words (128 counters: an edit changes
    at most two by one) rule out nearly all pairs; what is left is aligned in the cell's task, likeliest first,
    and pairs that became connected meanwhile are left out.  A pair that shares several buckets is aligned
    in one of them.  Tasks return links only, fewer than a cell has components: no list of pairs exists.
@@ -46,6 +46,8 @@ SKETCHES_AT_ONCE = 32
 BAG = 128
 #: Nodes of one block: a task looks at two blocks at a time, first at their bags of words, then (of those that are left) at their words.
 BAG_BLOCK, WORD_BLOCK = 4096, 256
+#: Times that open buckets are joined to those that have much the same nodes.
+JOINS = 3
 #: Edges of one hub that a task takes before its words are sent to another one too.
 EDGES_PER_HUB = 512
 
@@ -268,23 +270,43 @@ def _hub_links(s: Scratch, edges: DataFrame, details: DataFrame, similarity: flo
     return s.written(with_words.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").select("hub", "node", "words").mapInArrow(run, "a long, b long"), "hub-links")
 
 
-def _open_groups(s: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _joined(s: Scratch, groups: DataFrame, at: int) -> DataFrame:
+    """``key, node, label, mark`` of fewer groups: those with the same smallest hashed mark are one.
+
+    Two groups have the same smallest mark with the probability of their overlap (nodes of both to nodes of either).  Each group is kept
+    whole, so all pairs still meet; groups stay apart where one would have more pairs to compare than they have together.
+    """
+    least = groups.groupBy("key").agg(F.min(F.xxhash64(F.lit(at), "mark")).alias("to"), F.count("*").alias("n"))
+    moved = s.written(groups.join(least, "key"), "moved-groups")
+    apart = least.groupBy("to").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    both = moved.groupBy("to").agg(F.count_distinct("node").cast("double").alias("n")).select("to", (F.col("n") * F.col("n")).alias("both"))
+    fewer = apart.join(both, "to").where("both <= apart").select(F.col("to").alias("joint"))
+    key = F.coalesce("joint", "key").alias("key")
+    return s.written(moved.join(fewer, F.col("to") == F.col("joint"), "left").select(key, "node", "label", "mark").distinct(), "joined-groups")
+
+
+def _open_groups(s: Scratch, members: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """What is to meet: ``kind, key, node, label`` with the group's ``others`` and ``most``, and ``own``.
 
-    A bucket is open if its nodes are not all connected; its others are those outside its largest component.
-    Kind 0: the others of a bucket (``key``) meet each other.  Kind 1: all others that some bucket has beside a
+    A bucket is open if its nodes are not all connected; its others are those outside its largest component (all, if that
+    is a lone node).
+    Kind 0: the others of a bucket, or of several that `_joined` made one (``key``), meet each other.  Kind 1: all others that some bucket has beside a
     component (``key``) meet the nodes of that component (not ``own``), each sent once and not once a bucket.
     """
-    known = s.written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    counts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top"))
-    sizes = sizes.where(F.col("total") > F.col("top.n")).select(F.col("key").alias("bucket"), F.col("top.label").alias("main"))
-    others = known.join(sizes, (F.col("key") == F.col("bucket")) & (F.col("label") != F.col("main")))
+    known = s.written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("lone")), "labelled")
+    counts = known.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("lone").alias("lone"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label", "lone")).alias("top"))
+    sizes = sizes.where(F.col("total") > F.col("top.n")).select(F.col("key").alias("bucket"), F.when(~F.col("top.lone"), F.col("top.label")).alias("main"))
+    others = known.join(sizes, (F.col("key") == F.col("bucket")) & (F.col("main").isNull() | (F.col("label") != F.col("main"))))
     others = s.written(others.select("key", "node", "label", "main"), "others")
-    beside = s.written(others.select("main", "node", "label").distinct(), "beside")
-    several = others.groupBy("key").agg(F.count("*").alias("others"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "others")
+    beside = s.written(others.where("main IS NOT NULL").select("main", "node", "label").distinct(), "beside")
+    several = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    first = others.select("key", "node", "label").join(several, "key").join(marks, "node").select("key", "node", "label", "mark")
+    for at in range(JOINS):
+        first = _joined(s, first, at)
     none = F.lit(0).cast("long")
-    first = others.select("key", "node", "label").join(several, "key").select(F.lit(0).alias("kind"), "key", "node", "label", "others", none.alias("most"), F.lit(True).alias("own"))
+    sized = first.groupBy("key").agg(F.count("*").alias("others"))
+    first = first.join(sized, "key").select(F.lit(0).alias("kind"), "key", "node", "label", "others", none.alias("most"), F.lit(True).alias("own"))
     mains = beside.groupBy("main").agg(F.count("*").alias("others"))
     held = mains.join(labels.select("node", "label"), F.col("main") == F.col("label"), "left").select("main", F.coalesce("node", "main").alias("node"), "others")
     held = s.written(held, "main-nodes")
@@ -437,11 +459,11 @@ def near_duplicate_links(s: Scratch, nodes: DataFrame, full: DataFrame, similari
     edges = s.written(members.where("node <> hub").select("node", "hub").distinct(), "hub-edges")
     involved = edges.select("node").union(edges.select(F.col("hub").alias("node"))).distinct()
     s.drop(nodes)
-    details = s.written(full.join(involved.hint("merge"), "node"), "details")
+    details = s.written(full.join(involved.hint("merge"), "node").withColumn("mark", F.xxhash64("words")), "details")
     s.drop()
     links = _hub_links(s, edges, details, similarity)
     s.drop(edges)
-    open_groups = _open_groups(s, members.select("key", "node"), components(links))
+    open_groups = _open_groups(s, members.select("key", "node"), components(links), details.select("node", "mark"))
     s.drop(*[t for t, path in s.held if "/buckets-" in path])
     return links.union(_cell_links(s, open_groups, details, similarity))
 

@@ -93,3 +93,34 @@ def test_similarity_bound():
     assert N.similar(a, b)
     b[20] += 1000
     assert not N.similar(a, b)
+
+
+def test_joined_groups_keep_all_pairs_and_compare_no_more(spark, rng):
+    groups = {k: set(rng.sample(range(40), 25)) for k in range(8)} | {k: {100 + k, 101 + k} for k in range(8, 20)} | {k: {1, 2, 3} for k in range(20, 24)}
+    rows = [(k, n, n % 7, n * 31) for k, nodes in groups.items() for n in nodes]
+    with N.Scratch(spark) as s:
+        got = N._joined(s, spark.createDataFrame(rows, "key long, node long, label long, mark long"), 0).collect()
+    joined = {}
+    for r in got:
+        joined.setdefault(r.key, set()).add(r.node)
+        assert (r.label, r.mark) == (r.node % 7, r.node * 31)
+    assert len(got) == sum(map(len, joined.values())) and all(any(g <= j for j in joined.values()) for g in groups.values())
+    assert sum(len(j) ** 2 for j in joined.values()) <= sum(len(g) ** 2 for g in groups.values())
+    assert sum(j == {1, 2, 3} for j in joined.values()) <= 1 and len(joined) <= 21
+
+
+def test_texts_with_one_passage_meet_in_few_groups(spark, rng, monkeypatch):
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shared = " ".join(rng.choice(vocabulary) for _ in range(60))
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) + " " + shared for _ in range(150)]
+    sent, cells = [], N._cells
+
+    def counted(groups, block_nodes):
+        out = cells(groups, block_nodes)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_cells", counted)
+    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(documents(spark, texts)).collect()}
+    assert got == {i: i for i in range(150)}
+    assert sum(sent) < 3 * len(texts), sent
